@@ -4,7 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from veritab.llm import exact_dedup, packing, shared
+from veritab.llm import exact_dedup, near_dedup, packing, shared, toxicity
+
+
+def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the random field rejects go; all others stay."""
+    model = toxicity.fit_on(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return toxicity.reject(docs, model)
 
 
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -12,12 +18,17 @@ def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return exact_dedup.keep_first_copies(docs, exact_dedup.DigestIndex(spark, shared.new_path(spark, "digest-index")))
 
 
+def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each component of near duplicates stays."""
+    return near_dedup.keep_representatives(docs)
+
+
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every row that is left, in bins."""
     return packing.pack(packing.document_rows(docs))
 
 
-STAGES = [("exact_dedup", exact_stage), ("packing", packing_stage)]
+STAGES = [("toxicity", toxicity_stage), ("exact_dedup", exact_stage), ("near_dedup", near_stage), ("packing", packing_stage)]
 #: Toxicity is a trained model and near-duplicate search a randomised one: SQL cannot express the stages' rows.
 ORACLE_SQL = None
 

@@ -34,4 +34,47 @@ r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, ve
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20
 """
 
-ORACLES: dict[str, str] = {"op1_exact_top_k": OP1, "op2_warc_round_trip": OP2, "op9_exact_dedup": OP9}
+OP6 = """
+WITH RECURSIVE w AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w
+  FROM documents),
+s AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+    ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END) AS g FROM w),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+i AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY ALL),
+e AS (SELECT a, b FROM i JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 85 * (x.n + y.n - c)),
+r(a, b) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.a, e.b FROM r JOIN e ON e.a = r.b)
+SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, m.c AS component_id, d.doc_id = m.c AS kept
+FROM documents d LEFT JOIN n USING (doc_id) JOIN (SELECT a, min(b) AS c FROM r GROUP BY a) m ON m.a = d.doc_id
+"""
+
+OP7 = """
+WITH b AS (SELECT conv_id AS pair_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations),
+l AS (SELECT pair_id, max(turn) AS last FROM b WHERE role = 'assistant' GROUP BY pair_id),
+c AS (SELECT pair_id, row_number() OVER (PARTITION BY pair_id ORDER BY turn, role, text) AS i, role, text FROM b),
+j AS (
+  SELECT b.pair_id, turn, role, text FROM b LEFT JOIN l USING (pair_id) WHERE last IS NULL OR turn < last
+  UNION ALL
+  SELECT b.pair_id - 1, turn + 1099511627776, role, text FROM b JOIN l USING (pair_id) WHERE turn >= last AND b.pair_id - 1 IN (SELECT pair_id FROM b)),
+r AS (SELECT pair_id, row_number() OVER (PARTITION BY pair_id ORDER BY turn, role, text) AS i, role, text FROM j),
+p AS (
+  SELECT pair_id, i FROM c UNION SELECT pair_id, i FROM r),
+f AS (
+  SELECT p.pair_id, coalesce(min(p.i) FILTER (WHERE NOT coalesce(c.role = r.role AND c.text = r.text, false)) - 1, count(*)) AS n
+  FROM p LEFT JOIN c ON c.pair_id = p.pair_id AND c.i = p.i LEFT JOIN r ON r.pair_id = p.pair_id AND r.i = p.i GROUP BY p.pair_id),
+t AS (
+  SELECT 'c' AS side, c.pair_id, i, i > n AS after, role, '<|' || role || '|>' || chr(10) || text || '<|end|>' || chr(10) AS x FROM c JOIN f USING (pair_id)
+  UNION ALL
+  SELECT 'r', r.pair_id, i, i > n, role, '<|' || role || '|>' || chr(10) || text || '<|end|>' || chr(10) FROM r JOIN f USING (pair_id)),
+o AS (SELECT *, coalesce(sum(length(x)) OVER (PARTITION BY side, pair_id, after ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS off FROM t)
+SELECT f.pair_id, n AS prompt_turns,
+  coalesce(string_agg(x, '' ORDER BY i) FILTER (WHERE side = 'c' AND NOT after), '') AS prompt,
+  coalesce(string_agg(x, '' ORDER BY i) FILTER (WHERE side = 'c' AND after), '') AS chosen_completion,
+  coalesce(string_agg(x, '' ORDER BY i) FILTER (WHERE side = 'r' AND after), '') AS rejected_completion,
+  coalesce(string_agg((off + length(role) + 5) || '-' || (off + length(x)), ';' ORDER BY i) FILTER (WHERE side = 'c' AND after AND role = 'assistant'), '') AS chosen_trained,
+  coalesce(string_agg((off + length(role) + 5) || '-' || (off + length(x)), ';' ORDER BY i) FILTER (WHERE side = 'r' AND after AND role = 'assistant'), '') AS rejected_trained
+FROM f JOIN o ON o.pair_id = f.pair_id GROUP BY f.pair_id, n
+"""
+
+ORACLES: dict[str, str] = {"op1_exact_top_k": OP1, "op2_warc_round_trip": OP2, "op6_lsh_forest": OP6, "op7_preference_format": OP7, "op9_exact_dedup": OP9}

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veritab.llm import bpe, exact_dedup, kd_sharding, packing, shared, topk, toxicity, warc
+from veritab.llm import bpe, chat_format, exact_dedup, kd_sharding, near_dedup, packing, shared, topk, toxicity, warc
 from veritab.llm.oracles import ORACLES
 
 
@@ -46,6 +46,14 @@ def op5_toxic_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_lsh_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(_table(spark, sf_dir, "documents"))
+
+
+def op7_preference_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat_format.preference_rows(*chat_format.borrowed_replies(_table(spark, sf_dir, "conversations")))
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     index = exact_dedup.DigestIndex(spark, shared.new_path(spark, "digest-index"))
     found = exact_dedup.deduplicate(_table(spark, sf_dir, "documents"), index)
