@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veritab.llm import bpe, chat_format, exact_dedup, kd_sharding, near_dedup, packing, shared, topk, toxicity, warc
+from veritab.llm import bpe, chat_format, exact_dedup, katz, kd_sharding, near_dedup, packing, shared, topk, toxicity, warc
 from veritab.llm.oracles import ORACLES
 
 
@@ -54,6 +54,13 @@ def op7_preference_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.preference_rows(*chat_format.borrowed_replies(_table(spark, sf_dir, "conversations")))
 
 
+def op8_katz_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    remainder = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7
+    held_out = F.coalesce(remainder == 2, F.lit(False)).alias("held_out")
+    scored = katz.katz_scores(_table(spark, sf_dir, "documents"), remainder != 2)
+    return scored.select("doc_id", held_out, "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     index = exact_dedup.DigestIndex(spark, shared.new_path(spark, "digest-index"))
     found = exact_dedup.deduplicate(_table(spark, sf_dir, "documents"), index)
