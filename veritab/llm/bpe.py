@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 
 from veritab.llm import shared
 
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 8 << 20
 BLOCKS = "kind string, block bigint, bucket int, payload binary, word_buckets binary, doc_ids array<bigint>, lengths array<int>"
 ANSWERS = "block bigint, bucket int, payload binary"
 ENCODED = "doc_id bigint, ids array<int>"
@@ -175,10 +175,10 @@ def _gather(starts: np.ndarray, sizes: np.ndarray, flat: np.ndarray) -> np.ndarr
     return flat[shift + np.arange(total)]
 
 
-def _reassemble(table: pa.Table) -> pa.Table:
+def _reassemble(texts: pa.Table, answered: pa.Table) -> pa.Table:
     """One block: its documents' row, and an answer for each of its buckets."""
-    rows = sorted(table.to_pylist(), key=lambda r: r["bucket"])
-    doc, answers = rows[0], rows[1:]
+    (doc,) = texts.to_pylist()
+    answers = sorted(answered.to_pylist(), key=lambda r: r["bucket"])
     seq = _numbers(doc["payload"]).astype(np.int64)
     of = np.frombuffer(zstandard.decompress(doc["word_buckets"]), "<u4")
     sizes, ids = [], []
@@ -207,17 +207,17 @@ def encode(docs: DataFrame, vocabulary: str, pattern: str, id_col: str = "doc_id
     spark = docs.sparkSession
     buckets = shared.shuffle_partitions(spark)
     ranks = spark.sparkContext.broadcast(load_ranks(vocabulary))  # of the vocabulary's size, whatever the input's
-    blocks = shared.materialize(
+    blocks = shared.materialize_bucketed(
         docs.select(F.col(id_col).cast("bigint"), F.col(text_col).cast("string")).mapInArrow(_split_blocks(pattern, buckets), BLOCKS),
-        "bpe-blocks", partition_by="kind",
+        "bpe-blocks", "kind", "block", buckets,
     )
     answers = (
         blocks.filter("kind = 'word'").select("block", "bucket", "payload")
         .repartition(buckets, "bucket").sortWithinPartitions("bucket")
         .mapInArrow(_encode_buckets(ranks, pattern), ANSWERS)
     )
-    both = blocks.filter("kind = 'doc'").drop("kind").unionByName(answers, allowMissingColumns=True)
-    return both.groupBy("block").applyInArrow(_reassemble, ENCODED)
+    texts = blocks.filter("kind = 'doc'").select("block", "payload", "word_buckets", "doc_ids", "lengths")  # bucketed: not shuffled
+    return texts.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_reassemble, ENCODED)
 
 
 def byte_table(vocabulary: str) -> pa.Array:

@@ -42,6 +42,15 @@ def materialize(df: DataFrame, label: str, partition_by: str | None = None) -> D
     return out
 
 
+def materialize_bucketed(df: DataFrame, label: str, partition_by: str, bucket_by: str, buckets: int) -> DataFrame:
+    """As materialize(), but rows with equal `bucket_by` need no shuffle to meet others that are dealt by it."""
+    spark = df.sparkSession
+    table = f"veritab_{label.replace('-', '_')}_{uuid.uuid4().hex}"
+    writer = df.write.format("parquet").option("compression", "zstd").option("path", new_path(spark, label))
+    writer.partitionBy(partition_by).bucketBy(buckets, bucket_by).saveAsTable(table)
+    return spark.table(table)
+
+
 def discard(df: DataFrame) -> None:
     """Delete what materialize() wrote; only for tables that no later plan reads."""
     delete_path(df.sparkSession, df._veritab_path)
