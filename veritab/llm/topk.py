@@ -69,7 +69,7 @@ def build_tree(vectors: np.ndarray, leaf_rows: int = LEAF_ROWS) -> dict:
             order[a:b] = order[a:b][along]
             todo += [(a, a + middle, me), (a + middle, b, me)]
     centre, radius, parent, start, end, leaf = zip(*nodes, strict=True)
-    return {"centre": np.array(centre).reshape(-1, d), "radius": np.array(radius), "parent": np.array(parent), "start": np.array(start), "end": np.array(end), "leaf": np.array(leaf), "order": order}
+    return {"centre": np.array(centre, np.float64).reshape(len(nodes), d), "radius": np.array(radius), "parent": np.array(parent), "start": np.array(start), "end": np.array(end), "leaf": np.array(leaf), "order": order}
 
 
 def _products(queries: np.ndarray, vectors: np.ndarray) -> np.ndarray:
