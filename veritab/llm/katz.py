@@ -211,8 +211,8 @@ class _Block:
 
 
 def _emit_bigrams(buckets: int, hot_from: float):
-    def run(table: pa.Table) -> pa.Table:
-        block = _Block(table.to_pylist(), buckets, hot_from)
+    def run(texts: pa.Table, answered: pa.Table) -> pa.Table:
+        block = _Block(texts.to_pylist() + answered.to_pylist(), buckets, hot_from)
         learns = np.repeat(np.array(block.doc["train"], np.float64), block.lengths)
         learnt = np.bincount(block.which, learns, minlength=len(block.keys)).astype(np.uint64)
         rows = [
@@ -279,8 +279,8 @@ def backoff(stats: np.ndarray, history_count: np.ndarray, d: np.ndarray) -> np.n
 
 
 def _score(buckets: int, hot_from: float, unigrams: Unigrams, d: np.ndarray, hot: dict[int, list[float]], train_docs: int):
-    def run(table: pa.Table) -> pa.Table:
-        rows = table.to_pylist()
+    def run(texts: pa.Table, answered: pa.Table) -> pa.Table:
+        rows = texts.to_pylist() + answered.to_pylist()
         block = _Block(rows, buckets, hot_from)
         answers = {(r["bucket"], r["hot"]): r for r in rows if r["kind"] == "answer" and r["extra"] is not None}
         count, bare = np.zeros(len(block.keys), np.int64), np.zeros(len(block.keys), bool)
@@ -324,24 +324,25 @@ def katz_scores(docs: DataFrame, is_train: Column, id_col: str = "doc_id", text_
     """doc_id, n_tokens, n_known, base_score, score, train_tokens of every text; learns from rows where is_train."""
     buckets = shared.shuffle_partitions(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("bigint"), F.col(text_col).cast("string"), F.coalesce(is_train & F.col(id_col).isNotNull(), F.lit(False)))
-    blocks = shared.materialize(rows.mapInArrow(_split(buckets), BLOCKS), "katz-blocks", partition_by="kind")
-    texts = blocks.filter("kind = 'doc'")
+    blocks = shared.materialize_bucketed(rows.mapInArrow(_split(buckets), BLOCKS), "katz-blocks", "kind", "block", buckets)
+    texts = blocks.filter("kind = 'doc'")  # bucketed: not shuffled
     sorted_ = lambda df: df.repartition(buckets, "bucket").sortWithinPartitions("bucket")
     names = [x.split()[0] for x in ROWS.split(", ")]
     words = shared.materialize(sorted_(blocks.filter("kind = 'word'").select(*names)).mapInArrow(_count_words(buckets), ROWS), "katz-unigrams", partition_by="kind")
     sums = _added(words, K + 4)
     unigrams = Unigrams(sums[0], sums[1], sums[2:])
     hot_from = max(1.0, sums[0] / (4 * buckets))
-    numbered = texts.unionByName(words.filter("kind = 'answer'"), allowMissingColumns=True)
-    bigrams = numbered.groupBy("block").applyInArrow(_emit_bigrams(buckets, hot_from), ROWS)
+    numbers = words.filter("kind = 'answer'").select(*names)
+    meet = lambda answers: texts.groupBy("block").cogroup(answers.groupBy("block"))
+    bigrams = meet(numbers).applyInArrow(_emit_bigrams(buckets, hot_from), ROWS)
     pairs = shared.materialize(sorted_(bigrams).mapInArrow(_count_bigrams(unigrams), ROWS), "katz-bigrams", partition_by="kind")
     d = discounts(_added(pairs, K + 2))
     # fewer than 4 * buckets histories, by the threshold
     hot = pairs.filter("kind = 'hot'").groupBy("block").agg(*[F.sum(F.col("stats")[k]).alias(f"s{k}") for k in range(STATS)]).collect()
     by_history = {r["block"]: list(r)[1:] for r in hot}
     train_docs = texts.select(F.sum(F.size(F.filter("train", lambda x: x)))).first()[0] or 0
-    answered = numbered.unionByName(pairs.filter("kind = 'answer'"), allowMissingColumns=True)
-    scored = answered.groupBy("block").applyInArrow(_score(buckets, hot_from, unigrams, d, by_history, train_docs), SCORES)
+    answers = numbers.unionByName(pairs.filter("kind = 'answer'").select(*names))
+    scored = meet(answers).applyInArrow(_score(buckets, hot_from, unigrams, d, by_history, train_docs), SCORES)
     return scored.withColumn("train_tokens", F.lit(int(sums[0])).cast("bigint"))
 
 
