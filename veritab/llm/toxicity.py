@@ -35,6 +35,7 @@ from pyspark.sql import functions as F
 WORD = re.compile(r"[^\W\d_]+")
 SEGMENT = 64
 CACHED_WORDS = 200_000
+FIT_TOKENS = 200_000
 MIN_RATIO, MIN_LLR, MIN_DOCS = 10.0, 24.0, 3
 SPANS = "array<struct<start:int,end:int,probability:double>>"
 
@@ -119,7 +120,6 @@ class _Chain:
         zero, one = f0 * b0, f1 * b1 * weight
         p = (one / np.maximum(zero + one, 1e-300))[self.here]
         # the pair (place, next): forward at the place with its weight, the step, what comes backward to the place
-        pairs = np.zeros((2, 2))
         u = np.stack([f0, f1 * weight])
         norm = zero + one
         inner = self.here.copy()
@@ -185,14 +185,15 @@ def fit(texts: list[str], toxic: list[bool], steps: int = 40) -> dict:
     marks = token_labels(docs, toxic)
     number: dict[str, int] = {}
     word_of = np.array([number.setdefault(w, len(number)) for d in docs for w in d], np.int64)
+    lengths = np.array([len(d) for d in docs], np.int64)
+    del docs
     words = list(number)
     names: dict[str, int] = {}
     pairs = [(i, names.setdefault(f, len(names))) for i, w in enumerate(words) for f in features(w)]
     at, feature = (np.array(x, np.int64) for x in (zip(*pairs, strict=True) if pairs else ((), ())))
+    del pairs
     marked = np.array([any(s in marks for s in _stems(w)) for w in words], bool)
-    lengths = np.array([len(d) for d in docs], np.int64)
     y = (marked[word_of] & np.repeat(np.array(toxic), lengths)).astype(float) if len(words) else np.zeros(0)
-    chain = _Chain(lengths)
     n = len(names)
     starts = np.cumsum(lengths) - lengths
     within = np.ones(len(y), bool)
@@ -201,12 +202,23 @@ def fit(texts: list[str], toxic: list[bool], steps: int = 40) -> dict:
     if len(y):
         np.add.at(seen, (y[:-1].astype(int)[within[1:]], y[1:].astype(int)[within[1:]]), 1)
     pull = 1.0 / max(1, int(y.sum()))
-
-    def emissions(w):
-        return np.bincount(at, w[feature], minlength=len(words))[word_of] + w[n] if len(words) else np.zeros(0)
+    # documents by parts, so that memory does not follow the sample
+    cuts = np.flatnonzero(np.diff(np.cumsum(lengths) // FIT_TOKENS, prepend=-1)).tolist() + [len(lengths)]
+    chains = [_Chain(lengths[a:b]) for a, b in zip(cuts, cuts[1:], strict=False)]
+
+    def marginals(w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        by_word = np.bincount(at, w[feature], minlength=len(words)) + w[n]
+        transition, found, expected, begin = np.array([[0.0, w[n + 1]], [w[n + 2], w[n + 3]]]), [], np.zeros((2, 2)), 0
+        for chain in chains:
+            end = begin + int(chain.lengths.sum())
+            p, own = chain.run(by_word[word_of[begin:end]], transition)
+            found.append(p)
+            expected += own
+            begin = end
+        return np.concatenate(found), expected
 
     def grad(w):
-        p, expected = chain.run(emissions(w), np.array([[0.0, w[n + 1]], [w[n + 2], w[n + 3]]]))
+        p, expected = marginals(w)
         by_word = np.bincount(word_of, y - p, minlength=len(words))
         g = np.concatenate([np.bincount(feature, by_word[at], minlength=n), [(y - p).sum()], (seen - expected).ravel()[1:]])
         return g * pull - 0.002 * w
@@ -214,12 +226,12 @@ def fit(texts: list[str], toxic: list[bool], steps: int = 40) -> dict:
     w = np.zeros(n + 4)
     w[n] = -4.0
     w = _adam(w, grad, steps, 0.4)
+    w[:n][np.abs(w[:n]) <= 0.02] = 0.0
     model = {
-        "weights": {f: float(w[i]) for f, i in names.items() if abs(w[i]) > 0.02}, "bias": float(w[n]),
+        "weights": {f: float(w[i]) for f, i in names.items() if w[i]}, "bias": float(w[n]),
         "transition": np.array([[0.0, w[n + 1]], [w[n + 2], w[n + 3]]]),
     }
-    p, _ = chain.run(_emissions(model, docs), model["transition"])
-    x = np.column_stack([_evidence(p, lengths) / 4, np.ones(len(docs))])
+    x = np.column_stack([_evidence(marginals(w)[0], lengths) / 4, np.ones(len(lengths))])
     target = np.array(toxic, float)
     model["score"] = _adam(np.zeros(3), lambda v: x.T @ (target - 1 / (1 + np.exp(-x @ v))) / len(x) - 0.001 * v, 400, 0.1)
     return model
