@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from veritab.functions import constants as C
 from veritab.operators.verify import evaluate
+from veritab.sources.tables import written
 
 SPEC = "attempt_no int, region string, angle int, preprocess_mode string, psm int"
 
@@ -73,14 +74,14 @@ def prefix_plan(applications: DataFrame, attempts: DataFrame, key: str = "label_
 
 def wave_plan(
     applications: DataFrame, engine: str, run_attempt: Callable[[DataFrame, tuple], DataFrame], key: str = "label_id", required: Column | None = None,
-    store: Callable[[DataFrame], DataFrame] = lambda df: df.persist(), fallbacks: bool = True,
+    store: Callable[[DataFrame], DataFrame] = written, fallbacks: bool = True,
 ) -> DataFrame:
     """The same rows with an engine that is called for pending images only.
 
     run_attempt(pending, spec) gets the pending applications and a spec
     (attempt_no, region, angle, preprocess_mode, psm), and returns key, text and
-    elapsed_ms. `store` keeps what a wave has found, so that no image is
-    recognised twice; on a cluster it should write a table.
+    elapsed_ms. `store` keeps what a wave has found as a table, so that no image
+    is recognised twice and plans stay short.
     """
     done = None
     columns = applications.columns

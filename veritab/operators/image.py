@@ -27,8 +27,9 @@ IMAGE = "height int, width int, nChannels int, data binary"
 
 def from_row(height: int, width: int, channels: int, data: bytes | None) -> np.ndarray | None:
     """The pixels of an image row as three channels; None where it could not be decoded."""
-    if data is None or height <= 0 or width <= 0:
+    if data is None or height is None or not height > 0 or not width > 0:  # nulls may arrive as NaN
         return None
+    height, width, channels = int(height), int(width), int(channels)
     pixels = np.frombuffer(data, np.uint8).reshape(height, width, channels)
     if channels == 1:
         return np.repeat(pixels, 3, axis=2)
