@@ -14,7 +14,9 @@ by its pivots.
 
 Every link is confirmed on full sets. First come pairs with pivots and with the
 smallest member of a small region; then every other candidate whose ends are
-not yet in one component. Components come from alternating large-star and
+not yet in one component; last the members of large regions are sorted by more
+orders of their whole signatures, and neighbours in different components are
+compared. Components come from alternating large-star and
 small-star rounds whose tables go to the shared folder.
 
 Edge cases: a null text, or one without words, has no shingles, links with
@@ -39,6 +41,8 @@ from veritab.llm import shared
 TREES, DEPTH, DEPTHS, REGION = 16, 8, (4, 6, 8), 8
 SLOTS = TREES * DEPTH
 CHAIN = 64
+#: For members of crowded regions: sorted orders, values in a key, neighbours looked at.
+ORDERS, KEY, NEIGHBOURS = 64, 32, 4
 #: Agreeing slots of SLOTS below which a pair is not looked at: 4.7 standard deviations under 0.85.
 AGREE = 90
 CACHED_WORDS = 200_000
@@ -106,8 +110,12 @@ def sketches(docs: DataFrame, width: int = 5) -> DataFrame:
     return docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string")).mapInArrow(run, SKETCH)
 
 
-def candidates(classes: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """First and further candidate pairs (a < b) among (node, n, signature)."""
+def candidates(classes: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """First and further candidate pairs (a < b) among (node, n, signature), and the members of crowded regions.
+
+    The third table has region, node, n and pivot for regions of DEPTHS[1]
+    values with more than REGION members.
+    """
     at = lambda d: F.xxhash64("tree", F.expr(f"substring(signature, tree * {4 * DEPTH} + 1, {4 * d})"))
     trees = classes.select("node", "n", "signature", F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree"))
     trees = trees.select("node", "n", *[at(d).alias(f"k{d}") for d in DEPTHS])
@@ -126,7 +134,7 @@ def candidates(classes: DataFrame) -> tuple[DataFrame, DataFrame]:
     )
     central = deep.groupBy("node").agg(F.sum(f"c{DEPTHS[2]}").alias("central"))
     ranked = deep.join(central.hint("merge"), "node")
-    small, stars = [first.filter(F.col(f"c{DEPTHS[0]}") <= REGION).select(F.col(f"k{DEPTHS[0]}").alias("region"), "node", "n")], []
+    small, stars, crowded = [first.filter(F.col(f"c{DEPTHS[0]}") <= REGION).select(F.col(f"k{DEPTHS[0]}").alias("region"), "node", "n")], [], None
     before = DEPTHS[0]
     for d in DEPTHS:
         if d != DEPTHS[0]:
@@ -134,7 +142,10 @@ def candidates(classes: DataFrame) -> tuple[DataFrame, DataFrame]:
             small.append(inside.select(F.col(f"k{d}").alias("region"), "node", "n"))
         crowd = ranked.filter(F.col(f"c{d}") > REGION).select(F.col(f"k{d}").alias("region"), "node", "n", "central")
         pivots = crowd.groupBy("region").agg(F.max(F.struct("central", -F.col("node"), "n")).alias("p")).select("region", (-F.col("p.col2")).alias("pivot"), F.col("p.n").alias("pivot_n"))
-        stars.append(crowd.join(pivots.hint("merge"), "region").filter("node <> pivot").select(F.col("node").alias("a"), F.col("n").alias("an"), F.col("pivot").alias("b"), F.col("pivot_n").alias("bn")))
+        with_pivot = crowd.join(pivots.hint("merge"), "region")
+        if d == DEPTHS[1]:
+            crowded = with_pivot = shared.materialize(with_pivot.select("region", "node", "n", "pivot", "pivot_n"), "forest-crowded")
+        stars.append(with_pivot.filter("node <> pivot").select(F.col("node").alias("a"), F.col("n").alias("an"), F.col("pivot").alias("b"), F.col("pivot_n").alias("bn")))
         before = d
     # at full depth, neighbours in order of set size, in runs of about CHAIN rows
     last = f"{DEPTHS[-1]}"
@@ -150,14 +161,15 @@ def candidates(classes: DataFrame) -> tuple[DataFrame, DataFrame]:
     other = rows.select("region", F.col("node").alias("b"), F.col("n").alias("bn"))
     within = rows.join(other.hint("merge"), "region").filter("node < b").select(F.col("node").alias("a"), F.col("n").alias("an"), "b", "bn")
 
-    def pairs(df: DataFrame) -> DataFrame:
-        # sets of such sizes can reach 85 % of their union
-        return df.filter((100 * F.least("an", "bn") >= 85 * F.greatest("an", "bn"))).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-
     one = chain.unionByName(starts)
     for star in stars:
         one = one.unionByName(star)
-    return pairs(one), pairs(within)
+    return _pairs(one), _pairs(within), crowded
+
+
+def _pairs(df: DataFrame) -> DataFrame:
+    """Distinct pairs (a < b) of nodes whose set sizes can reach 85 % of their union."""
+    return df.filter((100 * F.least("an", "bn") >= 85 * F.greatest("an", "bn"))).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def _agreeing(pairs: DataFrame, classes: DataFrame) -> DataFrame:
@@ -238,8 +250,56 @@ def components(edges: DataFrame, rounds: int = 100) -> DataFrame:
     return stars.unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
 
 
+def _crowd_neighbours(crowd: DataFrame) -> DataFrame:
+    """Pairs of (node, n, signature, component) that are near in one of ORDERS sorted orders and in different components.
+
+    An order starts the signature at another slot; rows are dealt by range and
+    compared to the next NEIGHBOURS that share DEPTH values with them, so a
+    region of any size is spread over tasks.
+    """
+    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        turn = (np.arange(ORDERS)[:, None] * (SLOTS // ORDERS) + np.arange(KEY)) % SLOTS
+        for batch in batches:
+            for node, n, signature_, component in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
+                low = np.frombuffer(signature_, np.uint8).reshape(SLOTS, 4)[:, 3]
+                yield pa.RecordBatch.from_pydict({
+                    "nth": pa.array(np.arange(ORDERS), pa.int32()), "key": pa.array([k.tobytes() for k in low[turn]], pa.binary()),
+                    "node": [node] * ORDERS, "n": [n] * ORDERS, "component": [component] * ORDERS,
+                })
+
+    def pair(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        before: list[tuple] = []
+        for batch in batches:
+            found = []
+            for row in zip(*(batch.column(k).to_pylist() for k in range(5)), strict=True):
+                found += [(x[2], x[3], row[2], row[3]) for x in before if x[0] == row[0] and x[1][:DEPTH] == row[1][:DEPTH] and x[4] != row[4]]
+                before = [*before[-(NEIGHBOURS - 1) :], row]
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found, strict=True)], names=["a", "an", "b", "bn"])
+
+    placed = crowd.mapInArrow(keys, "nth int, key binary, node bigint, n bigint, component bigint")
+    parts = shared.shuffle_partitions(crowd.sparkSession)
+    ordered = placed.repartitionByRange(parts, "nth", "key", "node").sortWithinPartitions("nth", "key", "node")
+    return ordered.mapInArrow(pair, "a bigint, an bigint, b bigint, bn bigint")
+
+
+def _settle_crowds(docs: DataFrame, classes: DataFrame, crowded: DataFrame, links: DataFrame, width: int) -> DataFrame:
+    """Components of links and of what members of crowded regions still hide from their pivots."""
+    found = shared.materialize(components(links), "components-so-far")
+    members = classes.select("node", "n", "signature").join(crowded.select("node").distinct().hint("merge"), "node", "left_semi")
+    members = members.join(found.hint("merge"), "node", "left").withColumn("component", F.coalesce("component", "node"))
+    near = shared.materialize(_pairs(_crowd_neighbours(members)), "crowd-pairs")
+    likely = shared.materialize(_agreeing(near.withColumn("first", F.lit(True)), classes), "crowd-likely")
+    involved = likely.select(F.col("a").alias("doc_id")).union(likely.select("b")).distinct()
+    more = shared.materialize(_confirm(likely, shared.materialize(_shingle_sets(docs, involved, width), "crowd-sets")), "crowd-links")
+    if more.isEmpty():
+        return found
+    return shared.materialize(components(links.unionByName(more)), "components")
+
+
 def near_duplicates(docs: DataFrame, width: int = 5) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of every row of docs (doc_id, text)."""
+    shared.bound_batches(docs.sparkSession)
     rows = shared.materialize(sketches(docs, width), "sketches")
     nodes = rows.filter("set_key is not null and doc_id is not null")
     classes = shared.materialize(
@@ -248,7 +308,7 @@ def near_duplicates(docs: DataFrame, width: int = 5) -> DataFrame:
         .select("set_key", "node", "n", "signature").dropDuplicates(["set_key"]),
         "classes",
     )
-    one, more = candidates(classes)
+    one, more, crowded = candidates(classes)
     pairs = one.withColumn("first", F.lit(True)).unionByName(more.withColumn("first", F.lit(False))).groupBy("a", "b").agg(F.max("first").alias("first"))
     pairs = shared.materialize(pairs, "pairs")
     likely = shared.materialize(_agreeing(pairs, classes), "likely-pairs")
@@ -262,7 +322,7 @@ def near_duplicates(docs: DataFrame, width: int = 5) -> DataFrame:
         .filter(F.coalesce("a_in", "a") != F.coalesce("b_in", "b")).select("a", "b")
     )
     links = links.unionByName(shared.materialize(_confirm(apart, sets), "further-links"))
-    found = shared.materialize(components(links), "components")
+    found = _settle_crowds(docs, classes, crowded, links, width)
     of_class = classes.select("set_key", "node").join(found.hint("merge"), "node", "left").select("set_key", F.coalesce("component", "node").alias("component"))
     linked = rows.filter("set_key is not null and doc_id is not null").select("doc_id", "n", "set_key").join(of_class.hint("merge"), "set_key").select("doc_id", "n", "component")
     alone = rows.filter("set_key is null or doc_id is null").select("doc_id", "n", F.col("doc_id").alias("component"))
