@@ -205,6 +205,7 @@ def _reassemble(texts: pa.Table, answered: pa.Table) -> pa.Table:
 def encode(docs: DataFrame, vocabulary: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id and ids of every text, by the ranks in the file `vocabulary`."""
     spark = docs.sparkSession
+    shared.bound_batches(spark)
     buckets = shared.shuffle_partitions(spark)
     ranks = spark.sparkContext.broadcast(load_ranks(vocabulary))  # of the vocabulary's size, whatever the input's
     blocks = shared.materialize_bucketed(

@@ -116,7 +116,7 @@ def _deal(leaves: dict[int, int], shards: int) -> dict[int, int]:
     return out
 
 
-def kd_shards(docs: DataFrame, shards: int = 8, leaves_per_shard: int = 32) -> DataFrame:
+def kd_shards(docs: DataFrame, shards: int = 8, leaves_per_shard: int = 128) -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot, grown_shard (null), leaf.
 
     docs needs doc_id, text, lang and source. slot numbers the rows of a shard

@@ -29,13 +29,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from veritab.llm import shared
+
 WORD = re.compile(r"[^\W\d_]+")
 SEGMENT = 64
 CACHED_WORDS = 200_000
 FIT_TOKENS = 200_000
+GROUP_BYTES = 1 << 20
 MIN_RATIO, MIN_LLR, MIN_DOCS = 10.0, 24.0, 3
 SPANS = "array<struct<start:int,end:int,probability:double>>"
 
@@ -109,8 +113,8 @@ class _Chain:
             a, b = move(a, b, weight[k], self.here[k])
         return out
 
-    def run(self, emission: np.ndarray, transition: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The marginal of state 1 at each token, and the expected transitions."""
+    def run(self, emission: np.ndarray, transition: np.ndarray, transitions: bool = True) -> tuple[np.ndarray, np.ndarray]:
+        """The marginal of state 1 at each token, and (where asked for) the expected transitions."""
         if not self.total:
             return np.zeros(0), np.zeros((2, 2))
         weight = np.exp(np.clip(emission, -30, 30))[self.index]
@@ -118,7 +122,10 @@ class _Chain:
         f0, f1 = self._pass(weight, step, False)
         b0, b1 = self._pass(weight, step, True)
         zero, one = f0 * b0, f1 * b1 * weight
-        p = (one / np.maximum(zero + one, 1e-300))[self.here]
+        order = np.argsort(self.index[self.here], kind="stable")
+        p = (one / np.maximum(zero + one, 1e-300))[self.here][order]
+        if not transitions:
+            return p, np.zeros((2, 2))
         # the pair (place, next): forward at the place with its weight, the step, what comes backward to the place
         u = np.stack([f0, f1 * weight])
         norm = zero + one
@@ -135,8 +142,7 @@ class _Chain:
         joint = u[:, None] * step[:, :, None, None] * nxt[None]
         joint /= np.maximum(joint.sum(axis=(0, 1)), 1e-300)
         pairs = (joint * (inner & (norm > 0))).sum(axis=(2, 3))
-        order = np.argsort(self.index[self.here], kind="stable")
-        return p[order], pairs
+        return p, pairs
 
 
 def token_labels(texts: list[list[str]], toxic: list[bool]) -> set[str]:
@@ -259,7 +265,7 @@ def score_texts(model: dict, texts: list[str], cache: _Emission | None = None, s
         return np.full(len(texts), model["constant"]), [[] for _ in texts]
     docs = [WORD.findall(t) for t in texts]
     lengths = np.array([len(d) for d in docs], np.int64)
-    p, _ = _Chain(lengths).run(_emissions(model, docs, cache), model["transition"])
+    p, _ = _Chain(lengths).run(_emissions(model, docs, cache), model["transition"], transitions=False)
     x = np.column_stack([_evidence(p, lengths) / 4, np.ones(len(docs))])
     found: list[list[dict]] = [[] for _ in texts]
     if spans:
@@ -290,30 +296,31 @@ def fit_on(docs: DataFrame, labels: DataFrame, max_toxic: int = 600, max_clean:
     return fit(texts, toxic)
 
 
-def _groups(texts: list[str], most: int = 4 << 20) -> Iterator[tuple[int, int]]:
+def _slices(texts: pa.Array, most: int = GROUP_BYTES) -> Iterator[tuple[int, list[str]]]:
+    """Runs of texts of about `most` bytes, with the place of the first; a longer text is a run of its own."""
     start = held = 0
-    for i, t in enumerate(texts):
-        held += len(t)
+    for i, n in enumerate(pc.binary_length(texts).to_pylist()):
+        held += n or 0
         if held > most and i > start:
-            yield start, i
-            start, held = i, len(t)
+            yield start, [t or "" for t in texts.slice(start, i - start).to_pylist()]
+            start, held = i, n or 0
     if start < len(texts):
-        yield start, len(texts)
+        yield start, [t or "" for t in texts.slice(start).to_pylist()]
 
 
 def score(docs: DataFrame, model: dict, spans: bool = True) -> DataFrame:
     """doc_id, score and offending spans of every whole text."""
+    shared.bound_batches(docs.sparkSession)
     shared_model = docs.sparkSession.sparkContext.broadcast(model)  # its size is bounded by the fit's parameters
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared_model.value
         cache = _Emission(own) if "constant" not in own else None
         for batch in batches:
-            texts = [t or "" for t in batch.column(1).to_pylist()]
-            for a, b in _groups(texts):
-                values, found = score_texts(own, texts[a:b], cache, spans)
+            for at, texts in _slices(batch.column(1)):
+                values, found = score_texts(own, texts, cache, spans)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(a, b - a), pa.array(values), pa.array(found, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("probability", pa.float64())])))],
+                    [batch.column(0).slice(at, len(texts)), pa.array(values), pa.array(found, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("probability", pa.float64())])))],
                     names=["doc_id", "score", "offending"],
                 )
 
@@ -322,6 +329,7 @@ def score(docs: DataFrame, model: dict, spans: bool = True) -> DataFrame:
 
 def reject(docs: DataFrame, model: dict, threshold: float = 0.5) -> DataFrame:
     """The rows of docs, with all their columns, whose score is below the threshold."""
+    shared.bound_batches(docs.sparkSession)
     shared_model = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index("text")
 
@@ -329,9 +337,8 @@ def reject(docs: DataFrame, model: dict, threshold: float = 0.5) -> DataFrame:
         own = shared_model.value
         cache = _Emission(own) if "constant" not in own else None
         for batch in batches:
-            texts = [t or "" for t in batch.column(at).to_pylist()]
-            for a, b in _groups(texts):
-                values, _ = score_texts(own, texts[a:b], cache)
-                yield batch.slice(a, b - a).filter(pa.array(values < threshold))
+            for first, texts in _slices(batch.column(at)):
+                values, _ = score_texts(own, texts, cache)
+                yield batch.slice(first, len(texts)).filter(pa.array(values < threshold))
 
     return docs.mapInArrow(run, docs.schema)

@@ -78,6 +78,7 @@ def write_warc(pages: DataFrame, folder: str, revisit_from: int = 0, level: int
     folder is a URI that pyarrow opens on every executor (the shared folder).
     """
     spark = pages.sparkSession
+    shared.bound_batches(spark)
     rows = pages.select(
         F.col("page_id").cast("bigint").alias("page_id"), "url", F.coalesce(F.col("html").cast("binary"), F.lit("").cast("binary")).alias("payload")
     ).withColumns({"sha1": F.unhex(F.sha1("payload")), "bytes": F.octet_length("payload")})
