@@ -120,3 +120,10 @@ def box_percent(bbox: Column, width: Column, height: Column) -> Column:
         (bbox[0] / width * 100).alias("left"), (bbox[1] / height * 100).alias("top"),
         ((bbox[2] - bbox[0]) / width * 100).alias("width"), ((bbox[3] - bbox[1]) / height * 100).alias("height"),
     )
+
+
+def with_files(entries: DataFrame, files: DataFrame, name: str = "filename", order: str = "file_no") -> DataFrame:
+    """entries with the first file (by `order`) of the same name; its other columns as a struct `file`, null without one."""
+    others = [c for c in files.columns if c != name]
+    first = files.groupBy(name).agg(F.min_by(F.struct(*others), order).alias("file"))
+    return entries.join(first, name, "left")

@@ -138,3 +138,22 @@ def master(rows: DataFrame, existing: DataFrame, variants: DataFrame, key: str =
     new = variants.join(had.select(key).distinct(), key, "left_anti")
     base = rows.drop("image_path", "variant_type", "base_image")
     return originals(rows).unionByName(had, allowMissingColumns=True).unionByName(new.join(base, key), allowMissingColumns=True)
+
+
+def numbered(rows: DataFrame, *order: str) -> DataFrame:
+    """rows with record_no (from 1, by `order`) and records (how many there are).
+
+    Rows are sorted by range and numbered inside their partitions; each
+    partition starts after those before it, so no task sees all rows.
+    """
+    from pyspark.sql import Window
+
+    from veritab.sources.tables import written
+
+    placed = rows.orderBy(*order).withColumn("__at", F.monotonically_increasing_id())
+    placed = written(placed.withColumns({"__part": F.shiftright("__at", 33), "__nth": F.col("__at").bitwiseAND(F.lit(2**33 - 1))}).drop("__at"), "numbered")
+    sizes = placed.groupBy("__part").agg(F.count(F.lit(1)).alias("__n"))  # a row a partition
+    before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select("__part", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__start"), F.sum("__n").over(Window.partitionBy()).alias("records"))
+    out = placed.join(F.broadcast(starts), "__part").withColumn("record_no", F.col("__start") + F.col("__nth") + 1)
+    return out.drop("__part", "__nth", "__start")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from veritab.functions import constants as C
@@ -79,6 +79,13 @@ def value_counts(rows: DataFrame, column: str) -> DataFrame:
     return rows.filter(F.col(column).isNotNull()).groupBy(column).agg(F.count(F.lit(1)).alias("count")).orderBy(F.desc("count"), column)
 
 
+def observed(results: DataFrame, name: str = "evaluation") -> tuple[DataFrame, Observation]:
+    """results, and counts that are known once they have been written: records, errors, and found by field. No extra pass."""
+    counts = Observation(name)
+    found = [F.count_if(F.col(f"{n}_verdict.status") == "found").alias(f"{n}_found") for n in C.FIELDS]
+    return results.observe(counts, F.count(F.lit(1)).alias("records"), F.count_if(F.col("error") != "").alias("errors"), *found), counts
+
+
 DETAIL = ["ttb_id", "image_path", "variant_type", "error", "ocr_engine", "ocr_time_ms", "total_time_ms", "ocr_text", "normalized_ocr_text", "ocr_angle_0", "ocr_angle_90", "ocr_angle_270"]
 
 
