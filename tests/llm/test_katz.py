@@ -10,7 +10,7 @@ from veritab.llm import katz
 SCHEMA = "doc_id bigint, text string, train string, block int"
 
 
-def brute(rows, k=katz.K):
+def brute(rows, k=katz.K, normalised=None):
     train = [katz.tokens(t) for i, t in rows if i is not None and zlib.crc32(str(i).encode()) % 7 != 2]
     uni, big, hist = Counter(), Counter(), Counter()
     for words in train:
@@ -37,7 +37,7 @@ def brute(rows, k=katz.K):
         alpha[h] = (1 - sum(seen[h, w] for w, _ in ws)) / (1 - sum(p1[w] for w, _ in ws))
     low = lambda w: p1.get(w, left)
     prob = lambda h, w: seen[h, w] if (h, w) in seen else alpha.get(h, 1.0) * low(w)
-    for h in alpha:
+    for h in list(alpha)[:normalised]:
         assert math.isclose(sum(prob(h, w) for w in [*uni, b"?never?"]), 1.0, rel_tol=1e-9)
     out = {}
     for i, t in rows:
