@@ -36,6 +36,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veritab.llm import shared
+from veritab.llm.blocks import release
 
 BLOCK_BYTES = 8 << 20
 BLOCKS = "kind string, block bigint, bucket int, payload binary, word_buckets binary, doc_ids array<bigint>, lengths array<int>"
@@ -144,6 +145,8 @@ def _split_blocks(pattern: str, buckets: int):
                     local, seqs, doc_ids, held, count = _Numbered(), [], [], 0, count + 1
         if seqs:
             yield block(local, seqs, doc_ids)
+        del local, seqs, doc_ids
+        release()
 
     return run
 
@@ -164,19 +167,22 @@ def _encode_buckets(ranks, pattern: str):
                     ids += found
                 answer = _planes(np.array([len(sizes), *sizes, *ids], "<u4"))
                 yield pa.RecordBatch.from_pydict({"block": [block.as_py()], "bucket": pa.array([current], pa.int32()), "payload": [answer]})
+        del known, encoder, piece
+        release()
 
     return run
 
 
 def _gather(starts: np.ndarray, sizes: np.ndarray, flat: np.ndarray) -> np.ndarray:
     """flat[s : s + n] for each start and size, one after the other."""
-    total = int(sizes.sum())
-    shift = np.repeat(starts - np.concatenate(([0], np.cumsum(sizes)[:-1])) if len(sizes) else starts, sizes)
-    return flat[shift + np.arange(total)]
+    place = np.repeat(starts - (np.cumsum(sizes) - sizes), sizes)
+    place += np.arange(len(place))
+    return flat[place]
 
 
 def _reassemble(texts: pa.Table, answered: pa.Table) -> pa.Table:
     """One block: its documents' row, and an answer for each of its buckets."""
+    release()  # what the block before left
     (doc,) = texts.to_pylist()
     answers = sorted(answered.to_pylist(), key=lambda r: r["bucket"])
     seq = _numbers(doc["payload"]).astype(np.int64)
@@ -279,5 +285,6 @@ def round_trip_digests(encoded: DataFrame, vocabulary: str) -> DataFrame:
             if rows:
                 a, b, c, d = zip(*rows, strict=True)
                 yield pa.RecordBatch.from_pydict({"doc_id": pa.array(a, pa.int64()), "n_tokens": pa.array(b, pa.int64()), "ids_sha256": c, "decoded_sha256": d})
+        release()
 
     return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string")

@@ -38,7 +38,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veritab.llm import shared
-from veritab.llm.blocks import Numbered, pack, pack_floats, pack_sorted, pack_words, runs, unpack, unpack_floats, unpack_sorted, unpack_words
+from veritab.llm.blocks import Numbered, pack, pack_floats, pack_sorted, pack_words, release, runs, unpack, unpack_floats, unpack_sorted, unpack_words
 
 K = 5
 BLOCK_BYTES = 8 << 20
@@ -138,6 +138,8 @@ def _split(buckets: int):
                     local, seqs, ids, train, held, count = Numbered(), [], [], [], 0, count + 1
         if seqs:
             yield block(local, seqs, ids, train)
+        del local, seqs, ids, train
+        release()
 
     return run
 
@@ -179,6 +181,8 @@ def _count_words(buckets: int):
                 {"kind": "sums", "bucket": bucket, "stats": [float(total.sum()), float((total > 0).sum()), *_of_counts(total)]},
                 {"kind": "unigrams", "bucket": bucket, "payload": pack_words(list(number)), "counts": pack(total)},
             ])
+            del number, own, total
+            release()
 
     return run
 
@@ -212,6 +216,7 @@ class _Block:
 
 def _emit_bigrams(buckets: int, hot_from: float):
     def run(texts: pa.Table, answered: pa.Table) -> pa.Table:
+        release()  # what the block before left
         block = _Block(texts.to_pylist() + answered.to_pylist(), buckets, hot_from)
         learns = np.repeat(np.array(block.doc["train"], np.float64), block.lengths)
         learnt = np.bincount(block.which, learns, minlength=len(block.keys)).astype(np.uint64)
@@ -267,6 +272,7 @@ def _count_bigrams(unigrams: Unigrams):
                 learnt = total > 0
                 yield _batch([{"kind": "bigrams", "bucket": bucket, "hot": hot, "payload": pack_sorted(keys[learnt]), "counts": pack(total[learnt])}])
             yield _batch([{"kind": "sums", "bucket": bucket, "stats": sums.tolist()}])
+            release()
 
     return run
 
@@ -280,6 +286,7 @@ def backoff(stats: np.ndarray, history_count: np.ndarray, d: np.ndarray) -> np.n
 
 def _score(buckets: int, hot_from: float, unigrams: Unigrams, d: np.ndarray, hot: dict[int, list[float]], train_docs: int):
     def run(texts: pa.Table, answered: pa.Table) -> pa.Table:
+        release()  # what the block before left
         rows = texts.to_pylist() + answered.to_pylist()
         block = _Block(rows, buckets, hot_from)
         answers = {(r["bucket"], r["hot"]): r for r in rows if r["kind"] == "answer" and r["extra"] is not None}

@@ -37,6 +37,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from veritab.llm import shared
+from veritab.llm.blocks import release
 
 TREES, DEPTH, DEPTHS, REGION = 16, 8, (4, 6, 8), 8
 SLOTS = TREES * DEPTH
@@ -106,6 +107,8 @@ def sketches(docs: DataFrame, width: int = 5) -> DataFrame:
                 keys.append(xxhash.xxh3_128_digest(found.tobytes()) if len(found) else None)
                 signatures.append(signature(found).astype(">u4").tobytes() if len(found) else None)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.array(signatures, pa.binary())], names=["doc_id", "n", "set_key", "signature"])
+        del cache
+        release()
 
     return docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string")).mapInArrow(run, SKETCH)
 

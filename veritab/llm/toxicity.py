@@ -34,6 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veritab.llm import shared
+from veritab.llm.blocks import release
 
 WORD = re.compile(r"[^\W\d_]+")
 SEGMENT = 64
@@ -323,6 +324,8 @@ def score(docs: DataFrame, model: dict, spans: bool = True) -> DataFrame:
                     [batch.column(0).slice(at, len(texts)), pa.array(values), pa.array(found, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("probability", pa.float64())])))],
                     names=["doc_id", "score", "offending"],
                 )
+        del cache
+        release()
 
     return docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(run, f"doc_id bigint, score double, offending {SPANS}")
 
@@ -340,5 +343,7 @@ def reject(docs: DataFrame, model: dict, threshold: float = 0.5) -> DataFrame:
             for first, texts in _slices(batch.column(at)):
                 values, _ = score_texts(own, texts, cache)
                 yield batch.slice(first, len(texts)).filter(pa.array(values < threshold))
+        del cache
+        release()
 
     return docs.mapInArrow(run, docs.schema)
