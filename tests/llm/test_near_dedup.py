@@ -84,3 +84,20 @@ def test_long_path_of_links(spark):
     rows = spark.createDataFrame([(i, i + 1) for i in range(200)] + [(500, 501), (501, 501)], "a bigint, b bigint")
     got = {r["node"]: r["component"] for r in near_dedup.components(rows).collect()}
     assert got == {i: 0 for i in range(201)} | {500: 500, 501: 500}
+
+
+def shared_passage(docs, pairs, tail, alike, seed=5):
+    """Texts of one passage of 540 words and a tail; of the first `pairs` pairs, two tails start with `alike` equal words."""
+    rng = random.Random(seed)
+    passage = " ".join(f"p{k}" for k in range(540))
+    tails = [[f"t{i}x{rng.randrange(10**6)}" for _ in range(tail)] for i in range(docs)]
+    for k in range(pairs):
+        tails[docs - 1 - k][:alike] = tails[k][:alike]
+    return [(i, f"{passage} {' '.join(t)}") for i, t in enumerate(tails)]
+
+
+def test_pairs_inside_a_crowded_region(spark):
+    docs, pairs = 2500, 100
+    rows = shared_passage(docs, pairs, 50, 6)  # others 536 of 636 shingles in common (0.843), pairs 542 of 630 (0.860)
+    got = run(spark, rows)
+    assert {i: c for i, (_, c, _) in got.items()} == {i: docs - 1 - i if i >= docs - pairs else i for i in range(docs)}

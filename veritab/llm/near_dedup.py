@@ -8,16 +8,19 @@ at most REGION representatives share is a region whose pairs are all
 candidates; a larger region is cut by longer prefixes. Members of a region
 that is too large are also compared to its pivot, the member that most other
 members resemble (the largest sum of deepest regions over all trees), and at
-the full depth to their neighbours in order of set size. So candidates grow in
-proportion to the rows, and a group of near copies of any size hangs together
-by its pivots.
+the full depth to their neighbours in order of set size. So these candidates
+grow in proportion to the rows, and a group of near copies of any size hangs
+together by its pivots.
 
 Every link is confirmed on full sets. First come pairs with pivots and with the
 smallest member of a small region; then every other candidate whose ends are
-not yet in one component; last the members of large regions are sorted by more
-orders of their whole signatures, and neighbours in different components are
-compared. Components come from alternating large-star and
-small-star rounds whose tables go to the shared folder.
+not yet in one component. Last, in every large region of DEPTHS[0] values that
+still holds more than one component, all pairs of members of different
+components are compared, two blocks of members in a task: first by signatures,
+then what may link to something by full sets. That work grows with the square
+of what a region holds besides its largest components. Components come from
+alternating large-star and small-star rounds whose tables go to the shared
+folder.
 
 Edge cases: a null text, or one without words, has no shingles, links with
 nothing and is its own component; fewer words than a shingle are one shingle;
@@ -28,7 +31,7 @@ gives no rows; further columns are ignored.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -42,8 +45,10 @@ from veritab.llm.blocks import release
 TREES, DEPTH, DEPTHS, REGION = 16, 8, (4, 6, 8), 8
 SLOTS = TREES * DEPTH
 CHAIN = 64
-#: For members of crowded regions: sorted orders, values in a key, neighbours looked at.
-ORDERS, KEY, NEIGHBOURS = 64, 32, 4
+#: Members and shingles of a block of a crowded region, about.
+BLOCK, BLOCK_SHINGLES = 1024, 500_000
+#: Pairs that have a shingle in common, beyond which it is counted by matrices; columns of one.
+DENSE, COLUMNS = 2048, 2048
 #: Agreeing slots of SLOTS below which a pair is not looked at: 4.7 standard deviations under 0.85.
 AGREE = 90
 CACHED_WORDS = 200_000
@@ -116,8 +121,8 @@ def sketches(docs: DataFrame, width: int = 5) -> DataFrame:
 def candidates(classes: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """First and further candidate pairs (a < b) among (node, n, signature), and the members of crowded regions.
 
-    The third table has region, node, n and pivot for regions of DEPTHS[1]
-    values with more than REGION members.
+    The third table has region, node and n for regions of DEPTHS[0] values with
+    more than REGION members.
     """
     at = lambda d: F.xxhash64("tree", F.expr(f"substring(signature, tree * {4 * DEPTH} + 1, {4 * d})"))
     trees = classes.select("node", "n", "signature", F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree"))
@@ -137,7 +142,7 @@ def candidates(classes: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     )
     central = deep.groupBy("node").agg(F.sum(f"c{DEPTHS[2]}").alias("central"))
     ranked = deep.join(central.hint("merge"), "node")
-    small, stars, crowded = [first.filter(F.col(f"c{DEPTHS[0]}") <= REGION).select(F.col(f"k{DEPTHS[0]}").alias("region"), "node", "n")], [], None
+    small, stars = [first.filter(F.col(f"c{DEPTHS[0]}") <= REGION).select(F.col(f"k{DEPTHS[0]}").alias("region"), "node", "n")], []
     before = DEPTHS[0]
     for d in DEPTHS:
         if d != DEPTHS[0]:
@@ -146,8 +151,6 @@ def candidates(classes: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
         crowd = ranked.filter(F.col(f"c{d}") > REGION).select(F.col(f"k{d}").alias("region"), "node", "n", "central")
         pivots = crowd.groupBy("region").agg(F.max(F.struct("central", -F.col("node"), "n")).alias("p")).select("region", (-F.col("p.col2")).alias("pivot"), F.col("p.n").alias("pivot_n"))
         with_pivot = crowd.join(pivots.hint("merge"), "region")
-        if d == DEPTHS[1]:
-            crowded = with_pivot = shared.materialize(with_pivot.select("region", "node", "n", "pivot", "pivot_n"), "forest-crowded")
         stars.append(with_pivot.filter("node <> pivot").select(F.col("node").alias("a"), F.col("n").alias("an"), F.col("pivot").alias("b"), F.col("pivot_n").alias("bn")))
         before = d
     # at full depth, neighbours in order of set size, in runs of about CHAIN rows
@@ -167,7 +170,7 @@ def candidates(classes: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     one = chain.unionByName(starts)
     for star in stars:
         one = one.unionByName(star)
-    return _pairs(one), _pairs(within), crowded
+    return _pairs(one), _pairs(within), large.select(F.col(f"k{DEPTHS[0]}").alias("region"), "node", "n")
 
 
 def _pairs(df: DataFrame) -> DataFrame:
@@ -175,15 +178,16 @@ def _pairs(df: DataFrame) -> DataFrame:
     return df.filter((100 * F.least("an", "bn") >= 85 * F.greatest("an", "bn"))).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
+def _low_bytes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        if batch.num_rows:
+            whole = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint8).reshape(batch.num_rows, SLOTS, 4)
+            short = np.ascontiguousarray(whole[:, :, 3])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([r.tobytes() for r in short], pa.binary())], names=["node", "short"])
+
+
 def _agreeing(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     """The pairs whose signatures agree often enough, judged by a byte of each slot."""
-    def low_bytes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                whole = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint8).reshape(batch.num_rows, SLOTS, 4)
-                short = np.ascontiguousarray(whole[:, :, 3])
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([r.tobytes() for r in short], pa.binary())], names=["node", "short"])
-
     def agree(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
@@ -191,7 +195,7 @@ def _agreeing(pairs: DataFrame, classes: DataFrame) -> DataFrame:
                 yield batch.select(["a", "b", "first"]).filter(pa.array((left == right).sum(axis=1) >= AGREE))
 
     involved = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    short = shared.materialize(shared.with_ids(classes.select("node", "signature"), involved, "node").mapInArrow(low_bytes, "node bigint, short binary"), "forest-short")
+    short = shared.materialize(shared.with_ids(classes.select("node", "signature"), involved, "node").mapInArrow(_low_bytes, "node bigint, short binary"), "forest-short")
     left = pairs.join(short.select(F.col("node").alias("a"), F.col("short").alias("left")).hint("merge"), "a")
     both = left.join(short.select(F.col("node").alias("b"), F.col("short").alias("right")).hint("merge"), "b")
     return both.select("a", "b", "left", "right", "first").mapInArrow(agree, "a bigint, b bigint, first boolean")
@@ -253,48 +257,124 @@ def components(edges: DataFrame, rounds: int = 100) -> DataFrame:
     return stars.unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
 
 
-def _crowd_neighbours(crowd: DataFrame) -> DataFrame:
-    """Pairs of (node, n, signature, component) that are near in one of ORDERS sorted orders and in different components.
+def _in_blocks(crowd: DataFrame, run: Callable[[pa.Table], pa.Table], schema: str) -> DataFrame:
+    """run() over every two blocks of a region that can hold two components.
 
-    An order starts the signature at another slot; rows are dealt by range and
-    compared to the next NEIGHBOURS that share DEPTH values with them, so a
-    region of any size is spread over tasks.
+    crowd has region, node, n, component and payload; run's table has side (0
+    or 1; only 0 where a block meets itself) and all of these but the region.
+    Members of a component that fills a block are dealt to blocks of their own,
+    which meet others only; so a group of near copies is not compared to itself.
     """
-    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        turn = (np.arange(ORDERS)[:, None] * (SLOTS // ORDERS) + np.arange(KEY)) % SLOTS
-        for batch in batches:
-            for node, n, signature_, component in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
-                low = np.frombuffer(signature_, np.uint8).reshape(SLOTS, 4)[:, 3]
-                yield pa.RecordBatch.from_pydict({
-                    "nth": pa.array(np.arange(ORDERS), pa.int32()), "key": pa.array([k.tobytes() for k in low[turn]], pa.binary()),
-                    "node": [node] * ORDERS, "n": [n] * ORDERS, "component": [component] * ORDERS,
-                })
-
-    def pair(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        before: list[tuple] = []
-        for batch in batches:
-            found = []
-            for row in zip(*(batch.column(k).to_pylist() for k in range(5)), strict=True):
-                found += [(x[2], x[3], row[2], row[3]) for x in before if x[0] == row[0] and x[1][:DEPTH] == row[1][:DEPTH] and x[4] != row[4]]
-                before = [*before[-(NEIGHBOURS - 1) :], row]
-            if found:
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found, strict=True)], names=["a", "an", "b", "bn"])
-
-    placed = crowd.mapInArrow(keys, "nth int, key binary, node bigint, n bigint, component bigint")
-    parts = shared.shuffle_partitions(crowd.sparkSession)
-    ordered = placed.repartitionByRange(parts, "nth", "key", "node").sortWithinPartitions("nth", "key", "node")
-    return ordered.mapInArrow(pair, "a bigint, an bigint, b bigint, bn bigint")
+    full = crowd.groupBy("region", "component").agg(F.count(F.lit(1)).alias("rows")).filter(F.col("rows") >= BLOCK).select("region", "component", F.lit(True).alias("alone"))
+    placed = crowd.join(full.hint("merge"), ["region", "component"], "left").withColumn("alone", F.coalesce("alone", F.lit(False)))
+    placed = placed.withColumn("own", F.when(F.col("alone"), F.col("component")).otherwise(F.lit(0)))
+    blocks = F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("bigint")
+    sizes = placed.groupBy("region", "alone", "own").agg(blocks.alias("blocks"))
+    each = sizes.withColumn("at", F.explode(F.sequence(F.lit(1).cast("bigint"), "blocks"))).select("region", F.struct("alone", "own", "at").alias("x"))
+    met = each.join(each.withColumnRenamed("x", "y").hint("merge"), "region").filter("x <= y and not (x.alone and y.alone and x.own = y.own)")
+    met = met.select("region", F.xxhash64("x", "y").alias("met"), "x", "y")
+    sides = met.select("region", "met", "x", F.lit(0).alias("side")).unionByName(met.filter("x <> y").select("region", "met", F.col("y").alias("x"), F.lit(1).alias("side")))
+    at = F.pmod(F.xxhash64("node"), F.col("blocks")) + 1
+    rows = placed.join(sizes.hint("merge"), ["region", "alone", "own"]).withColumn("x", F.struct("alone", "own", at.alias("at")))
+    rows = rows.join(sides.hint("merge"), ["region", "x"])
+    return rows.select("region", "met", "side", "node", "n", "component", "payload").groupBy("region", "met").applyInArrow(run, schema)
+
+
+def _apart(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows of both sides that have a partner, and which pairs (rows x columns) may link: other components, sizes near enough."""
+    side, n, component = (table.column(c).to_numpy() for c in ("side", "n", "component"))
+    left = np.flatnonzero(side == 0)
+    right = np.flatnonzero(side == 1) if side.any() else left
+    x, y = n[left][:, None], n[right][None, :]
+    may = (component[left][:, None] != component[right]) & (100 * np.minimum(x, y) >= 85 * np.maximum(x, y))
+    rows, columns = may.any(axis=1), may.any(axis=0)
+    return left[rows], right[columns], may[rows][:, columns]
+
+
+def _likely_members(table: pa.Table) -> pa.Table:
+    """region and node of the members whose signatures (a byte a slot) agree often enough with one of another component."""
+    left, right, may = _apart(table)
+    found = np.zeros(0, np.int64)
+    if may.size:
+        short = np.frombuffer(b"".join(table.column("payload").to_pylist()), np.uint8).reshape(-1, SLOTS)
+        x, y = short[left], short[right]
+        agree = np.zeros(may.shape, np.uint8)
+        for k in range(SLOTS):
+            agree += x[:, k, None] == y[None, :, k]
+        may &= agree >= AGREE
+        found = np.unique(np.concatenate([left[may.any(axis=1)], right[may.any(axis=0)]]))
+    return table.select(["region", "node"]).take(pa.array(found))
+
+
+def _common(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of every set of left with every set of right."""
+    out = np.zeros((len(left), len(right)), np.int64)
+    tokens, at = np.unique(np.concatenate([*left, *right]), return_inverse=True)
+    cut = sum(map(len, left))
+    rows, columns = (np.repeat(np.arange(len(s)), [len(x) for x in s]) for s in (left, right))
+    u, v = at[:cut], at[cut:]
+    pairs = np.bincount(u, minlength=len(tokens)) * np.bincount(v, minlength=len(tokens))
+    dense = np.flatnonzero(pairs > DENSE)
+    for k in range(0, len(dense), COLUMNS):
+        place = np.full(len(tokens), -1)
+        place[dense[k : k + COLUMNS]] = np.arange(len(dense[k : k + COLUMNS]))
+        x, y = (np.zeros((len(s), COLUMNS), np.float32) for s in (left, right))
+        for m, where, t in ((x, rows, u), (y, columns, v)):
+            inside = place[t] >= 0
+            m[where[inside], place[t[inside]]] = 1
+        out += (x @ y.T).astype(np.int64)
+    few = (pairs > 0) & (pairs <= DENSE)
+    p, q = np.flatnonzero(few[u]), np.flatnonzero(few[v])
+    p, q = p[np.argsort(u[p], kind="stable")], q[np.argsort(v[q], kind="stable")]
+    first, count = np.searchsorted(v[q], u[p]), np.bincount(v[q], minlength=len(tokens))[u[p]]
+    for k in range(0, len(p), COLUMNS):
+        c = count[k : k + COLUMNS]
+        inner = np.arange(c.sum()) - np.repeat(np.cumsum(c) - c, c)
+        np.add.at(out, (np.repeat(rows[p[k : k + COLUMNS]], c), columns[q[np.repeat(first[k : k + COLUMNS], c) + inner]]), 1)
+    return out
+
+
+def _joining_links(table: pa.Table) -> pa.Table:
+    """Links (a, b) by full sets that join the components of two blocks: as few as join whatever any pair joins."""
+    left, right, may = _apart(table)
+    a, b = [], []
+    if may.size:
+        sets, node = table.column("payload"), table.column("node").to_pylist()
+        x, y = ([np.frombuffer(sets[int(i)].as_py(), np.uint64) for i in s] for s in (left, right))
+        common = _common(x, y)
+        total = np.array([len(s) for s in x])[:, None] + np.array([len(s) for s in y])[None, :]
+        may &= 100 * common >= 85 * (total - common)
+        component, parent = table.column("component").to_pylist(), {}
+
+        def find(c: int) -> int:
+            while c in parent:
+                c = parent[c]
+            return c
+
+        for i, j in np.argwhere(may).tolist():
+            p, q = find(component[left[i]]), find(component[right[j]])
+            if p != q:
+                parent[max(p, q)] = min(p, q)
+                a.append(node[left[i]])
+                b.append(node[right[j]])
+    return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
 
 def _settle_crowds(docs: DataFrame, classes: DataFrame, crowded: DataFrame, links: DataFrame, width: int) -> DataFrame:
     """Components of links and of what members of crowded regions still hide from their pivots."""
     found = shared.materialize(components(links), "components-so-far")
-    members = classes.select("node", "n", "signature").join(crowded.select("node").distinct().hint("merge"), "node", "left_semi")
-    members = members.join(found.hint("merge"), "node", "left").withColumn("component", F.coalesce("component", "node"))
-    near = shared.materialize(_pairs(_crowd_neighbours(members)), "crowd-pairs")
-    likely = shared.materialize(_agreeing(near.withColumn("first", F.lit(True)), classes), "crowd-likely")
-    involved = likely.select(F.col("a").alias("doc_id")).union(likely.select("b")).distinct()
-    more = shared.materialize(_confirm(likely, shared.materialize(_shingle_sets(docs, involved, width), "crowd-sets")), "crowd-links")
+    members = crowded.join(found.hint("merge"), "node", "left").withColumn("component", F.coalesce("component", "node"))
+    mixed = members.groupBy("region").agg(F.min("component").alias("least"), F.max("component").alias("most")).filter("least < most").select("region")
+    members = shared.materialize(members.join(mixed.hint("merge"), "region", "left_semi").select("region", "node", "n", "component"), "crowd-members")
+    involved = members.select("node").distinct()
+    short = shared.with_ids(classes.select("node", "signature"), involved, "node").mapInArrow(_low_bytes, "node bigint, short binary").withColumnRenamed("short", "payload")
+    likely = _in_blocks(members.join(short.hint("merge"), "node"), _likely_members, "region bigint, node bigint").distinct()
+    likely = shared.materialize(members.join(likely.hint("merge"), ["region", "node"], "left_semi"), "crowd-likely")
+    if likely.isEmpty():
+        return found
+    involved = likely.select(F.col("node").alias("doc_id")).distinct()
+    sets = shared.materialize(_shingle_sets(docs, involved, width), "crowd-sets").withColumnRenamed("shingles", "payload")
+    more = shared.materialize(_in_blocks(likely.join(sets.hint("merge"), "node"), _joining_links, "a bigint, b bigint"), "crowd-links")
     if more.isEmpty():
         return found
     return shared.materialize(components(links.unionByName(more)), "components")
