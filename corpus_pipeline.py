@@ -19,8 +19,8 @@ def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of near duplicates stays."""
-    return near_dedup.keep_representatives(docs)
+    """One document of each component of near duplicates (a similarity of 0.8 or more over five words) stays."""
+    return near_dedup.keep_representatives(docs, threshold=80)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

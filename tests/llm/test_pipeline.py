@@ -49,3 +49,12 @@ def test_empty_table(spark, folder, tmp_path):
     spark.read.parquet(f"{folder}/documents.parquet").limit(0).write.parquet(f"{tmp_path}/documents.parquet")
     spark.read.parquet(f"{folder}/labels.parquet").limit(0).write.parquet(f"{tmp_path}/labels.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_near_stage_links_from_four_fifths(spark):
+    base = [f"b{k}" for k in range(100)]  # 96 shingles
+    copy = lambda more, mark: " ".join([*(f"{w}{mark}" for w in base), *(f"{mark}{k}" for k in range(more))])
+    rows = [(1, copy(0, "x")), (2, copy(21, "x")), (3, copy(0, "y")), (4, copy(27, "y"))]  # 96 of 117 (0.82), 96 of 123 (0.78)
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    assert {r["doc_id"] for r in corpus_pipeline.near_stage(spark, docs, "").collect()} == {1, 3, 4}
+    assert (near_dedup.depths(85), near_dedup.agreeing_slots(85)) == ((4, 6, 8), 90)

@@ -3,7 +3,7 @@
 Texts with equal shingle sets are one class and are represented by the class's
 smallest id. A representative's signature is cut into TREES runs of DEPTH
 values; sorted by such a run, neighbours with a long common prefix are
-candidates. The depth adapts to the region: a prefix of DEPTHS[0] values that
+candidates. The depth adapts to the region: a prefix of depths()[0] values that
 at most REGION representatives share is a region whose pairs are all
 candidates; a larger region is cut by longer prefixes. Members of a region
 that is too large are also compared to its pivot, the member that most other
@@ -14,7 +14,7 @@ together by its pivots.
 
 Every link is confirmed on full sets. First come pairs with pivots and with the
 smallest member of a small region; then every other candidate whose ends are
-not yet in one component. Last, in every large region of DEPTHS[0] values that
+not yet in one component. Last, in every large region of depths()[0] values that
 still holds more than one component, all pairs of members of different
 components are compared, two blocks of members in a task: first by signatures,
 then what may link to something by full sets. That work grows with the square
@@ -42,15 +42,13 @@ from pyspark.sql import functions as F
 from veritab.llm import shared
 from veritab.llm.blocks import release
 
-TREES, DEPTH, DEPTHS, REGION = 16, 8, (4, 6, 8), 8
+TREES, DEPTH, REGION = 16, 8, 8
 SLOTS = TREES * DEPTH
 CHAIN = 64
 #: Members and shingles of a block of a crowded region, about.
 BLOCK, BLOCK_SHINGLES = 1024, 500_000
 #: Pairs that have a shingle in common, beyond which it is counted by matrices; columns of one.
 DENSE, COLUMNS = 2048, 2048
-#: Agreeing slots of SLOTS below which a pair is not looked at: 4.7 standard deviations under 0.85.
-AGREE = 90
 CACHED_WORDS = 200_000
 SKETCH = "doc_id bigint, n bigint, set_key binary, signature binary"
 
@@ -118,34 +116,49 @@ def sketches(docs: DataFrame, width: int = 5) -> DataFrame:
     return docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string")).mapInArrow(run, SKETCH)
 
 
-def candidates(classes: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+def depths(threshold: int) -> tuple[int, int, int]:
+    """Prefix lengths of the forest: a pair at the threshold (percent) shares the first in no tree with a probability of at most 2e-5."""
+    if not 50 <= threshold <= 100:
+        raise ValueError("threshold is a percentage from 50 to 100")
+    first = max(d for d in range(1, DEPTH - 3) if (1 - (threshold / 100) ** d) ** TREES <= 2e-5)
+    return first, first + 2, first + 4
+
+
+def agreeing_slots(threshold: int) -> int:
+    """Agreeing slots of SLOTS below which a pair is not looked at: 4.65 standard deviations under the threshold."""
+    p = threshold / 100
+    return int(SLOTS * p - 4.65 * (SLOTS * p * (1 - p)) ** 0.5)
+
+
+def candidates(classes: DataFrame, threshold: int) -> tuple[DataFrame, DataFrame, DataFrame]:
     """First and further candidate pairs (a < b) among (node, n, signature), and the members of crowded regions.
 
-    The third table has region, node and n for regions of DEPTHS[0] values with
+    The third table has region, node and n for regions of the first depth with
     more than REGION members.
     """
+    lengths = depths(threshold)
     at = lambda d: F.xxhash64("tree", F.expr(f"substring(signature, tree * {4 * DEPTH} + 1, {4 * d})"))
     trees = classes.select("node", "n", "signature", F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree"))
-    trees = trees.select("node", "n", *[at(d).alias(f"k{d}") for d in DEPTHS])
+    trees = trees.select("node", "n", *[at(d).alias(f"k{d}") for d in lengths])
 
     def counted(df: DataFrame, d: int) -> DataFrame:
         sizes = df.groupBy(f"k{d}").agg(F.count(F.lit(1)).alias(f"c{d}")).filter(F.col(f"c{d}") > 1)
         return df.join(sizes.hint("merge"), f"k{d}")
 
     # rows that share at least the shortest prefix with another
-    first = shared.materialize(counted(trees, DEPTHS[0]), "forest-first")
-    large = first.filter(F.col(f"c{DEPTHS[0]}") > REGION)
+    first = shared.materialize(counted(trees, lengths[0]), "forest-first")
+    large = first.filter(F.col(f"c{lengths[0]}") > REGION)
     deep = shared.materialize(
-        large.join(large.groupBy(f"k{DEPTHS[1]}").agg(F.count(F.lit(1)).alias(f"c{DEPTHS[1]}")).hint("merge"), f"k{DEPTHS[1]}")
-        .join(large.groupBy(f"k{DEPTHS[2]}").agg(F.count(F.lit(1)).alias(f"c{DEPTHS[2]}")).hint("merge"), f"k{DEPTHS[2]}"),
+        large.join(large.groupBy(f"k{lengths[1]}").agg(F.count(F.lit(1)).alias(f"c{lengths[1]}")).hint("merge"), f"k{lengths[1]}")
+        .join(large.groupBy(f"k{lengths[2]}").agg(F.count(F.lit(1)).alias(f"c{lengths[2]}")).hint("merge"), f"k{lengths[2]}"),
         "forest-deep",
     )
-    central = deep.groupBy("node").agg(F.sum(f"c{DEPTHS[2]}").alias("central"))
+    central = deep.groupBy("node").agg(F.sum(f"c{lengths[2]}").alias("central"))
     ranked = deep.join(central.hint("merge"), "node")
-    small, stars = [first.filter(F.col(f"c{DEPTHS[0]}") <= REGION).select(F.col(f"k{DEPTHS[0]}").alias("region"), "node", "n")], []
-    before = DEPTHS[0]
-    for d in DEPTHS:
-        if d != DEPTHS[0]:
+    small, stars = [first.filter(F.col(f"c{lengths[0]}") <= REGION).select(F.col(f"k{lengths[0]}").alias("region"), "node", "n")], []
+    before = lengths[0]
+    for d in lengths:
+        if d != lengths[0]:
             inside = deep.filter((F.col(f"c{before}") > REGION) & (F.col(f"c{d}") > 1) & (F.col(f"c{d}") <= REGION))
             small.append(inside.select(F.col(f"k{d}").alias("region"), "node", "n"))
         crowd = ranked.filter(F.col(f"c{d}") > REGION).select(F.col(f"k{d}").alias("region"), "node", "n", "central")
@@ -154,7 +167,7 @@ def candidates(classes: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
         stars.append(with_pivot.filter("node <> pivot").select(F.col("node").alias("a"), F.col("n").alias("an"), F.col("pivot").alias("b"), F.col("pivot_n").alias("bn")))
         before = d
     # at full depth, neighbours in order of set size, in runs of about CHAIN rows
-    last = f"{DEPTHS[-1]}"
+    last = f"{lengths[-1]}"
     crowd = deep.filter(F.col(f"c{last}") > REGION).withColumn("salt", F.pmod(F.xxhash64("node"), F.ceil(F.col(f"c{last}") / CHAIN)))
     order = Window.partitionBy(f"k{last}", "salt").orderBy("n", "node")
     chain = crowd.select("node", "n", F.lag("node").over(order).alias("b"), F.lag("n").over(order).alias("bn")).filter("b is not null").select(F.col("node").alias("a"), F.col("n").alias("an"), "b", "bn")
@@ -170,12 +183,12 @@ def candidates(classes: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     one = chain.unionByName(starts)
     for star in stars:
         one = one.unionByName(star)
-    return _pairs(one), _pairs(within), large.select(F.col(f"k{DEPTHS[0]}").alias("region"), "node", "n")
+    return _pairs(one, threshold), _pairs(within, threshold), large.select(F.col(f"k{lengths[0]}").alias("region"), "node", "n")
 
 
-def _pairs(df: DataFrame) -> DataFrame:
-    """Distinct pairs (a < b) of nodes whose set sizes can reach 85 % of their union."""
-    return df.filter((100 * F.least("an", "bn") >= 85 * F.greatest("an", "bn"))).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+def _pairs(df: DataFrame, threshold: int) -> DataFrame:
+    """Distinct pairs (a < b) of nodes whose set sizes can reach the threshold (percent of their union)."""
+    return df.filter((100 * F.least("an", "bn") >= threshold * F.greatest("an", "bn"))).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def _low_bytes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -186,13 +199,13 @@ def _low_bytes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([r.tobytes() for r in short], pa.binary())], names=["node", "short"])
 
 
-def _agreeing(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+def _agreeing(pairs: DataFrame, classes: DataFrame, threshold: int) -> DataFrame:
     """The pairs whose signatures agree often enough, judged by a byte of each slot."""
     def agree(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
                 left, right = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint8).reshape(-1, SLOTS) for k in (2, 3))
-                yield batch.select(["a", "b", "first"]).filter(pa.array((left == right).sum(axis=1) >= AGREE))
+                yield batch.select(["a", "b", "first"]).filter(pa.array((left == right).sum(axis=1) >= agreeing_slots(threshold)))
 
     involved = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
     short = shared.materialize(shared.with_ids(classes.select("node", "signature"), involved, "node").mapInArrow(_low_bytes, "node bigint, short binary"), "forest-short")
@@ -212,14 +225,14 @@ def _shingle_sets(docs: DataFrame, ids: DataFrame, width: int) -> DataFrame:
     return rows.mapInArrow(run, "node bigint, shingles binary")
 
 
-def _confirm(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+def _confirm(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = []
             for x, y in zip(batch.column(2), batch.column(3), strict=True):
                 p, q = np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)
                 common = len(np.intersect1d(p, q, assume_unique=True))
-                keep.append(100 * common >= 85 * (len(p) + len(q) - common))
+                keep.append(100 * common >= threshold * (len(p) + len(q) - common))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     left = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("left")).hint("merge"), "a")
@@ -280,20 +293,20 @@ def _in_blocks(crowd: DataFrame, run: Callable[[pa.Table], pa.Table], schema: st
     return rows.select("region", "met", "side", "node", "n", "component", "payload").groupBy("region", "met").applyInArrow(run, schema)
 
 
-def _apart(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _apart(table: pa.Table, threshold: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Rows of both sides that have a partner, and which pairs (rows x columns) may link: other components, sizes near enough."""
     side, n, component = (table.column(c).to_numpy() for c in ("side", "n", "component"))
     left = np.flatnonzero(side == 0)
     right = np.flatnonzero(side == 1) if side.any() else left
     x, y = n[left][:, None], n[right][None, :]
-    may = (component[left][:, None] != component[right]) & (100 * np.minimum(x, y) >= 85 * np.maximum(x, y))
+    may = (component[left][:, None] != component[right]) & (100 * np.minimum(x, y) >= threshold * np.maximum(x, y))
     rows, columns = may.any(axis=1), may.any(axis=0)
     return left[rows], right[columns], may[rows][:, columns]
 
 
-def _likely_members(table: pa.Table) -> pa.Table:
+def _likely_members(table: pa.Table, threshold: int) -> pa.Table:
     """region and node of the members whose signatures (a byte a slot) agree often enough with one of another component."""
-    left, right, may = _apart(table)
+    left, right, may = _apart(table, threshold)
     found = np.zeros(0, np.int64)
     if may.size:
         short = np.frombuffer(b"".join(table.column("payload").to_pylist()), np.uint8).reshape(-1, SLOTS)
@@ -301,7 +314,7 @@ def _likely_members(table: pa.Table) -> pa.Table:
         agree = np.zeros(may.shape, np.uint8)
         for k in range(SLOTS):
             agree += x[:, k, None] == y[None, :, k]
-        may &= agree >= AGREE
+        may &= agree >= agreeing_slots(threshold)
         found = np.unique(np.concatenate([left[may.any(axis=1)], right[may.any(axis=0)]]))
     return table.select(["region", "node"]).take(pa.array(found))
 
@@ -334,16 +347,16 @@ def _common(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def _joining_links(table: pa.Table) -> pa.Table:
+def _joining_links(table: pa.Table, threshold: int) -> pa.Table:
     """Links (a, b) by full sets that join the components of two blocks: as few as join whatever any pair joins."""
-    left, right, may = _apart(table)
+    left, right, may = _apart(table, threshold)
     a, b = [], []
     if may.size:
         sets, node = table.column("payload"), table.column("node").to_pylist()
         x, y = ([np.frombuffer(sets[int(i)].as_py(), np.uint64) for i in s] for s in (left, right))
         common = _common(x, y)
         total = np.array([len(s) for s in x])[:, None] + np.array([len(s) for s in y])[None, :]
-        may &= 100 * common >= 85 * (total - common)
+        may &= 100 * common >= threshold * (total - common)
         component, parent = table.column("component").to_pylist(), {}
 
         def find(c: int) -> int:
@@ -360,7 +373,7 @@ def _joining_links(table: pa.Table) -> pa.Table:
     return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
 
-def _settle_crowds(docs: DataFrame, classes: DataFrame, crowded: DataFrame, links: DataFrame, width: int) -> DataFrame:
+def _settle_crowds(docs: DataFrame, classes: DataFrame, crowded: DataFrame, links: DataFrame, width: int, threshold: int) -> DataFrame:
     """Components of links and of what members of crowded regions still hide from their pivots."""
     found = shared.materialize(components(links), "components-so-far")
     members = crowded.join(found.hint("merge"), "node", "left").withColumn("component", F.coalesce("component", "node"))
@@ -368,20 +381,23 @@ def _settle_crowds(docs: DataFrame, classes: DataFrame, crowded: DataFrame, link
     members = shared.materialize(members.join(mixed.hint("merge"), "region", "left_semi").select("region", "node", "n", "component"), "crowd-members")
     involved = members.select("node").distinct()
     short = shared.with_ids(classes.select("node", "signature"), involved, "node").mapInArrow(_low_bytes, "node bigint, short binary").withColumnRenamed("short", "payload")
-    likely = _in_blocks(members.join(short.hint("merge"), "node"), _likely_members, "region bigint, node bigint").distinct()
+    likely = _in_blocks(members.join(short.hint("merge"), "node"), lambda t: _likely_members(t, threshold), "region bigint, node bigint").distinct()
     likely = shared.materialize(members.join(likely.hint("merge"), ["region", "node"], "left_semi"), "crowd-likely")
     if likely.isEmpty():
         return found
     involved = likely.select(F.col("node").alias("doc_id")).distinct()
     sets = shared.materialize(_shingle_sets(docs, involved, width), "crowd-sets").withColumnRenamed("shingles", "payload")
-    more = shared.materialize(_in_blocks(likely.join(sets.hint("merge"), "node"), _joining_links, "a bigint, b bigint"), "crowd-links")
+    more = shared.materialize(_in_blocks(likely.join(sets.hint("merge"), "node"), lambda t: _joining_links(t, threshold), "a bigint, b bigint"), "crowd-links")
     if more.isEmpty():
         return found
     return shared.materialize(components(links.unionByName(more)), "components")
 
 
-def near_duplicates(docs: DataFrame, width: int = 5) -> DataFrame:
-    """doc_id, n_shingles, component_id and kept of every row of docs (doc_id, text)."""
+def near_duplicates(docs: DataFrame, width: int = 5, threshold: int = 85) -> DataFrame:
+    """doc_id, n_shingles, component_id and kept of every row of docs (doc_id, text).
+
+    Texts link whose sets have at least `threshold` percent of their union in common.
+    """
     shared.bound_batches(docs.sparkSession)
     rows = shared.materialize(sketches(docs, width), "sketches")
     nodes = rows.filter("set_key is not null and doc_id is not null")
@@ -391,21 +407,21 @@ def near_duplicates(docs: DataFrame, width: int = 5) -> DataFrame:
         .select("set_key", "node", "n", "signature").dropDuplicates(["set_key"]),
         "classes",
     )
-    one, more, crowded = candidates(classes)
+    one, more, crowded = candidates(classes, threshold)
     pairs = one.withColumn("first", F.lit(True)).unionByName(more.withColumn("first", F.lit(False))).groupBy("a", "b").agg(F.max("first").alias("first"))
     pairs = shared.materialize(pairs, "pairs")
-    likely = shared.materialize(_agreeing(pairs, classes), "likely-pairs")
+    likely = shared.materialize(_agreeing(pairs, classes, threshold), "likely-pairs")
     involved = likely.select(F.col("a").alias("doc_id")).union(likely.select("b")).distinct()
     sets = shared.materialize(_shingle_sets(docs, involved, width), "sets")
-    links = shared.materialize(_confirm(likely.filter("first").select("a", "b"), sets), "links")
+    links = shared.materialize(_confirm(likely.filter("first").select("a", "b"), sets, threshold), "links")
     group = shared.materialize(components(links), "first-components")
     of = lambda end: group.select(F.col("node").alias(end), F.col("component").alias(f"{end}_in")).hint("merge")
     apart = (
         likely.filter("not first").select("a", "b").join(of("a"), "a", "left").join(of("b"), "b", "left")
         .filter(F.coalesce("a_in", "a") != F.coalesce("b_in", "b")).select("a", "b")
     )
-    links = links.unionByName(shared.materialize(_confirm(apart, sets), "further-links"))
-    found = _settle_crowds(docs, classes, crowded, links, width)
+    links = links.unionByName(shared.materialize(_confirm(apart, sets, threshold), "further-links"))
+    found = _settle_crowds(docs, classes, crowded, links, width, threshold)
     of_class = classes.select("set_key", "node").join(found.hint("merge"), "node", "left").select("set_key", F.coalesce("component", "node").alias("component"))
     linked = rows.filter("set_key is not null and doc_id is not null").select("doc_id", "n", "set_key").join(of_class.hint("merge"), "set_key").select("doc_id", "n", "component")
     alone = rows.filter("set_key is null or doc_id is null").select("doc_id", "n", F.col("doc_id").alias("component"))
@@ -414,6 +430,6 @@ def near_duplicates(docs: DataFrame, width: int = 5) -> DataFrame:
     )
 
 
-def keep_representatives(docs: DataFrame) -> DataFrame:
-    """docs, all columns, without the rows that near_duplicates() does not keep."""
-    return shared.without_ids(docs, near_duplicates(docs).filter("not kept").select("doc_id"), "doc_id")
+def keep_representatives(docs: DataFrame, threshold: int = 80) -> DataFrame:
+    """docs, all columns, without the rows that near_duplicates() does not keep at the threshold (percent)."""
+    return shared.without_ids(docs, near_duplicates(docs, threshold=threshold).filter("not kept").select("doc_id"), "doc_id")

@@ -47,7 +47,7 @@ def op5_toxic_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_lsh_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_dedup.near_duplicates(_table(spark, sf_dir, "documents"))
+    return near_dedup.near_duplicates(_table(spark, sf_dir, "documents"), threshold=85)
 
 
 def op7_preference_format(spark: SparkSession, sf_dir: str) -> DataFrame:
