@@ -56,3 +56,15 @@ def test_members_are_plain_gzip_and_damage_is_skipped(spark):
 def test_empty(spark):
     manifest = warc.write_warc(pages(spark, []), shared.new_path(spark, "warc"))
     assert warc.read_warc(manifest).count() == 0
+
+
+def test_long_header_and_counts(spark):
+    url = "data:," + base64.b64encode(b"".join(hashlib.sha256(str(k).encode()).digest() for k in range(3000))).decode()  # compresses badly
+    data = warc.record(1, url, b"a", None, 1)
+    assert [h["warc-target-uri"] for _, h, _ in warc.records_in_range(io.BytesIO(data), 0, len(data))] == [url]
+    manifest = warc.write_warc(pages(spark, [(1, url, "a"), (2, "u", "b")], 1).coalesce(1), shared.new_path(spark, "warc"))
+    records = warc.read_warc(manifest)
+    assert {r["page_id"]: r["url"] for r in records.collect()} == {1: url, 2: "u"}
+    warc.require_whole(records, manifest)
+    with pytest.raises(ValueError, match="records read"):
+        warc.require_whole(records.filter("page_id = 1"), manifest)

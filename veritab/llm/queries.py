@@ -22,7 +22,9 @@ def op1_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     manifest = warc.write_warc(_table(spark, sf_dir, "pages"), shared.new_path(spark, "warc"))
-    return warc.read_warc(manifest.select("path", "bytes"), payloads=False).select(
+    records = shared.materialize(warc.read_warc(manifest.select("path", "bytes"), payloads=False).drop("url", "payload"), "warc-records")
+    warc.require_whole(records, manifest)
+    return records.select(
         "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"
     )
 

@@ -125,12 +125,12 @@ def _headers(lines: list[bytes]) -> dict[str, str]:
     return {k.strip().lower().decode("latin-1"): v.strip().decode("utf-8", "replace") for k, _, v in pairs}
 
 
-def _inflate(source: BinaryIO, offset: int, limit: int | None = None) -> tuple[bytes, int] | None:
-    """The member at offset (or its first `limit` bytes) and where it ends; None if it is damaged or none."""
+def _inflate(source: BinaryIO, offset: int) -> tuple[bytes, int] | None:
+    """The member at offset and where it ends; None if it is damaged or none."""
     inflate, data, at = zlib.decompressobj(31), bytearray(), offset
     source.seek(offset)
     while not inflate.eof:
-        chunk = source.read(4096 if limit else STEP)
+        chunk = source.read(STEP)
         if not chunk:
             return None
         try:
@@ -138,17 +138,28 @@ def _inflate(source: BinaryIO, offset: int, limit: int | None = None) -> tuple[b
         except zlib.error:
             return None
         at += len(chunk)
-        if limit and len(data) >= limit:
-            return bytes(data), at
     return bytes(data), at - len(inflate.unused_data)
 
 
 def _is_record(source: BinaryIO, offset: int) -> bool:
-    found = _inflate(source, offset, 64 << 10)
-    if found is None or not found[0].startswith(VERSION):
-        return False
-    head, end, _ = found[0].partition(CRLF + CRLF)
-    return bool(end) and _headers(head.split(CRLF)[1:]).get("content-length", "").isdigit()
+    """Whether a member at offset begins with a WARC header block, of any length, that has a content length."""
+    inflate, data = zlib.decompressobj(31), bytearray()
+    source.seek(offset)
+    while not inflate.eof:
+        chunk = source.read(4096)
+        if not chunk:
+            return False
+        seen = max(0, len(data) - len(CRLF + CRLF) + 1)
+        try:
+            data += inflate.decompress(chunk)
+        except zlib.error:
+            return False
+        if not data.startswith(VERSION[: len(data)]):
+            return False
+        end = data.find(CRLF + CRLF, seen)
+        if end >= 0:
+            return _headers(bytes(data[:end]).split(CRLF)[1:]).get("content-length", "").isdigit()
+    return False
 
 
 def records_in_range(source: BinaryIO, start: int, end: int) -> Iterator[tuple[int, dict[str, str], bytes]]:
@@ -220,3 +231,11 @@ def read_warc(files: DataFrame, range_bytes: int = RANGE_BYTES, payloads: bool =
 
     spread = ranges.repartition(shared.shuffle_partitions(files.sparkSession))  # round robin: ranges have one size
     return spread.mapInArrow(scan, RECORDS)
+
+
+def require_whole(records: DataFrame, manifest: DataFrame) -> None:
+    """Raise unless as many records were read from each archive as its line in the manifest says."""
+    read = records.groupBy(F.col("archive").alias("path")).agg(F.count(F.lit(1)).alias("read"))
+    short = manifest.join(read.hint("merge"), "path", "left").filter(F.coalesce("read", F.lit(0)) != F.col("records")).first()
+    if short is not None:
+        raise ValueError(f"{short['path']}: {short['read'] or 0} records read, {short['records']} written")
