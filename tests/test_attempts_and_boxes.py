@@ -1,13 +1,14 @@
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from veritab.functions import constants as C
-from veritab.operators import associate, attempts, evaluation, words
+from veritab.operators import associate, attempts, evaluation, overlap, words
 from veritab.operators.verify import evaluate
 from veritab.plans import evidence as E
-from veritab.sources import engines
+from veritab.sources import adapters, engines, uploads
 
 SF = "/root/testdata/sf0.001"
 WORD = "id int, word_no int, text string, conf int, block_num int, par_num int, line_num int, left int, top int, width int, height int"
@@ -113,3 +114,32 @@ def test_summary_report_and_sinks(spark, tmp_path):
     assert len(spark.read.csv(f"{tmp_path}/detail", header=True).columns) == 29
     assert spark.read.json(f"{tmp_path}/records").count() == 200
     assert evaluation.timing(results.limit(0)).first()["avg_total_ms"] == 0.0
+
+
+def test_both_ways_of_the_overlap_join(spark):
+    items = spark.createDataFrame([(1, "a b c d"), (2, "x"), (3, ""), (4, "the the a")], "item_id int, text string")
+    texts = spark.createDataFrame([(i, t) for i, t in enumerate(["a b", "the a x", "", None, "d c b a q", "Q", "the cat"])], "doc_id int, text string")
+    a, b = (sorted(tuple(r) for r in overlap.overlap_join(items, texts, broadcast_words=n).collect()) for n in (1000, 0))
+    assert a == b == [(1, 0, 2, 0.5), (1, 4, 4, 1.0), (2, 1, 1, 1.0), (4, 0, 1, 0.5), (4, 1, 2, 1.0), (4, 4, 1, 0.5), (4, 6, 1, 0.5)]
+    assert overlap.overlap_join(items.limit(0), texts).count() == 0
+
+
+def test_adapters(spark):
+    words_ = {"text": ["CASCADE", " WINERY ", "x", "", "late"], "conf": ["90", 80, 29, -1, 30], "block_num": [1] * 5, "par_num": [1] * 5, "line_num": [1, 1, 1, 1, 0],
+              "left": [10, 70, 0, 0, 0], "top": [10, 12, 0, 0, 90], "width": [50, 40, 1, 1, 5], "height": [20, 20, 1, 1, 5]}
+    text, boxes = adapters.word_engine(lambda gray, psm: words_)(np.full((300, 300, 3), 255, np.uint8), "basic", 6)
+    assert text == "CASCADE WINERY late" and [b["bbox"] for b in boxes] == [[5, 5, 55, 16], [0, 45, 2, 47]] and [b["confidence"] for b in boxes] == [0.85, 0.3]
+    polygons = {"rec_texts": [" a ", "  ", "c", "d"], "dt_polys": [[[1.0, 2.0], [5.0, 1.0], [4.9, 9.0]], [[0.0, 0.0]], None], "rec_scores": [0.12345]}
+    shapes = [polygons, type("R", (), {"res": polygons})(), type("R", (), polygons)()]
+    for shape in shapes:
+        text, boxes = adapters.polygon_engine(lambda img, shape=shape: [shape])(np.zeros((3200, 10, 3), np.uint8), "basic", 11)
+        assert text == "a c d" and boxes == [{"text": "a", "bbox": [2, 2, 10, 18], "confidence": 0.123}]
+    adapters.install()
+    assert engines.get("tesseract") is adapters.word_engine and engines.get("paddleocr") is adapters.polygon_engine
+
+
+def test_uploads(spark):
+    forms = spark.createDataFrame([("r1", " Foo ", None, "750 ml", "true", "false", "other"), ("r2", "B", "5", "1 l", None, None, "paddleocr")], "request_id string, brand_name string, alcohol_content string, net_contents string, gov_warning_expected string, debug string, engine string")
+    files_ = spark.createDataFrame([("r1", 0, "a.PNG", "image/png", b"1"), ("r1", 1, "b", "image/jpeg", b"2"), ("r1", 2, "c.gif", "image/gif", b"3"), ("r2", 0, "d", None, b"4"), ("r3", 0, "e.png", "image/png", b"5")], "request_id string, file_no int, filename string, content_type string, content binary")
+    got = uploads.requests(forms, files_).orderBy("file_no").collect()
+    assert [(r["filename"], r["suffix"], r["brand_name"], r["alcohol_content"], r["gov_warning_expected"], r["engine"]) for r in got] == [("a.PNG", ".PNG", "Foo", "", True, "tesseract"), ("b", ".jpg", "Foo", "", True, "tesseract")]

@@ -1,3 +1,5 @@
+import re
+
 import duckdb
 import pytest
 
@@ -43,3 +45,9 @@ def test_pushdown_and_joins(spark):
     for name in catalogue.queries():
         assert "CartesianProduct" not in plan(name), name
     assert "TakeOrderedAndProject" in plan("top_warnings") and "Python" not in plan("evaluate_labels")
+
+
+@pytest.mark.parametrize("name,most", [("evaluate_labels", 10), ("top_warnings", 10), ("associate_boxes", 12), ("fallback_prefix_choice", 20), ("variant_summary", 20)])
+def test_expressions_are_not_copied(spark, name, most):
+    plan = catalogue.queries()[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert len(re.findall(r"regexp_|RLIKE", plan)) <= most and plan.count("replace(") <= 9 * most

@@ -58,8 +58,13 @@ def test_images_listing_existence(spark, pictures):
         assert np.array_equal(I.from_row(r["height"], r["width"], r["nChannels"], bytes(r["data"])), img)
     names = [r["path"].rsplit("/", 1)[1] for r in files.listing(spark, folder).collect()]
     assert names == sorted(names) and len(names) == 4
-    rows = spark.createDataFrame([("images/p0.png",), ("images/none.png",), (None,)], "image_path string")
-    assert [r["image_exists"] for r in files.with_existence(rows, files.listing(spark, folder)).orderBy(F.desc("image_path")).collect()] == [True, False, False]
+    rows = spark.createDataFrame([("./p0.png ",), ("raw/p0.png",), ("none.png",), (None,)], "image_path string")
+    found = {r["image_path"]: r["image_exists"] for r in files.with_existence(rows, files.listing(spark, folder), folder).collect()}
+    assert found == {"./p0.png ": True, "raw/p0.png": False, "none.png": False, None: False}
+    other = spark.createDataFrame([("file:/d/other/x.jpg",), ("hdfs://h/d/images/raw/y.jpg",)], "path string")
+    rows = spark.createDataFrame([("images/raw/x.jpg",), ("images\\raw/y.jpg",)], "image_path string")
+    found = {r["image_path"]: r["image_exists"] for r in files.with_existence(rows, other, "/d").collect()}
+    assert found == {"images/raw/x.jpg": False, "images\\raw/y.jpg": False}  # the second is another store's /h/d
 
 
 def test_transform_distort_stack(spark, pictures):
@@ -167,3 +172,17 @@ def test_stream_equals_batch(spark, tmp_path):
         verify.start(verify.requests(spark, source, files_per_batch=2), target, state).awaitTermination()
     got = spark.read.parquet(target).drop("batch")
     assert sorted(map(str, got.collect())) == sorted(map(str, verify.verify(whole).select(*got.columns).collect()))
+
+
+def test_replace_swaps_a_table(spark, tmp_path):
+    path = f"{tmp_path}/metadata"
+    dataset.replace(spark.createDataFrame([("a", "1"), ("b", "2")], "id string, v string"), path)
+    dataset.replace(files.records(spark, path).filter("id = 'b'"), path)  # reads the table that it replaces
+    assert [tuple(r) for r in files.records(spark, path).collect()] == [("b", "2")]
+
+    def fails(rows, where):
+        raise OSError("disk")
+
+    with pytest.raises(OSError, match="disk"):
+        dataset.replace(files.records(spark, path).limit(0), path, fails)
+    assert files.records(spark, path).count() == 1

@@ -1,8 +1,9 @@
 from pyspark.sql import functions as F
 
-from veritab.operators import associate, dataset
+from veritab.operators import associate, dataset, image
 from veritab.plans import evidence as E
 from veritab.plans import job
+from veritab.sources import engines
 
 SF = "/root/testdata/sf0.001"
 
@@ -32,3 +33,28 @@ def test_with_files(spark):
     files = spark.createDataFrame([("a", 2, 20), ("a", 1, 10)], "filename string, file_no int, size int")
     got = {r["filename"]: r["file"] for r in associate.with_files(entries, files).collect()}
     assert got["a"]["size"] == 10 and got["b"] is None
+
+
+def test_attempts_are_found_by_their_whole_spec(spark):
+    rows = [(1, "p", 3, "full", 0, "bilateral", 6, "of the other engine"), (1, "p", 6, "bottom_strip", 0, "basic", 11, "strip"), (1, "p", 9, "full", 0, "basic", 6, "first")]
+    tries = spark.createDataFrame([(*r, 1.0) for r in rows], "label_id int, image_path string, attempt_no int, region string, angle int, preprocess_mode string, psm int, text string, elapsed_ms double")
+    of = lambda engine: sorted((r["attempt_no"], r["text"]) for r in job.own_attempts(tries, engine).collect())
+    assert of("paddleocr") == [(0, "first"), (3, "strip")] and of("tesseract") == [(0, "first"), (3, "of the other engine")]
+
+
+def test_job_from_images(spark, tmp_path):
+    folder = tmp_path / "dataset"
+    made = spark.createDataFrame([(f"images/p{k}", 40, 60, 3, bytes([20 * k]) * 7200) for k in range(3)], "name string, height int, width int, nChannels int, data binary")
+    (folder / "images").mkdir(parents=True)
+    image.write_pngs(made, f"file://{folder}").collect()
+    (folder / "images" / "bad.png").write_bytes(b"no image")
+    records = [(str(k), p, "Red", "5%", "", "original") for k, p in enumerate(["images/p0.png", "images/p1.png", "images/bad.png", "images/raw/p1.png", ""])]
+    spark.createDataFrame(records, "`TTB ID` string, image_path string, `Brand Name` string, alcohol_content string, net_contents string, variant_type string").coalesce(1).write.csv(f"{tmp_path}/records", header=True, escape='"')
+    engines.register("paddleocr", lambda: lambda img, mode, psm: (f"red 5% {img.shape[0]} {psm}", []))
+    try:
+        text = job.main(["--records", f"{tmp_path}/records", "--images", str(folder), "--out", f"{tmp_path}/out", "--engine", "paddleocr"])
+    finally:
+        engines._REGISTRY.pop("paddleocr")
+    assert text.startswith("5 records") and "image errors: 2" in text
+    got = {r["ttb_id"]: r for r in spark.read.csv(f"{tmp_path}/out/detail", header=True).collect()}
+    assert got["0"]["brand_name_status"] == "found" and got["0"]["ocr_angle_90"] == "red 5% 60 11" and got["2"]["ocr_text"] is None and got["3"]["error"] == "image_not_found"

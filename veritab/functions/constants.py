@@ -13,6 +13,7 @@ REPLACEMENTS = [
     ("by vol.", "by vol"),
 ]
 DROPPED = r"[^a-z0-9%\s./()\-,:;]"
+BLANKED = r"[^a-z0-9%./()\-,:;]+"  # runs of dropped characters and blanks
 NUMBER = r"(\d+(?:\.\d+)?)"
 ALCOHOL_IN_TEXT = NUMBER + r"\s*%\s*(?:alc/?\s*vol|alc\s+by\s+vol|alcohol\s+by\s+volume|by\s+vol(?:ume)?|abv|alcohol)?"
 NET_EXPECTED = NUMBER + r"\s*(ml|milliliters?|milli?liters?|l|liters?|cl|oz|fl\s*oz)"
@@ -81,3 +82,14 @@ CAPTCHA_EXACT, CAPTCHA_LOWER = "What code is in the image", "are you a human"
 ATTACHMENT = "publicViewAttachment"
 PAGE_LABELS = {"brand_name_detail": "BRAND NAME", "fanciful_name_detail": "FANCIFUL NAME", "net_contents": "NET CONTENTS", "alcohol_content": "ALCOHOL CONTENT"}
 EXTRA_COLUMNS = ["brand_name_detail", "fanciful_name_detail", "net_contents", "alcohol_content", "image_path", "image_count", "fetch_status"]
+
+# What the engines are called with.
+WORD_ENGINE_OPTIONS = "--oem 3 --psm {psm} -c load_system_dawg=0 -c load_freq_dawg=0"
+POLYGON_ENGINE_OPTIONS = {
+    "ocr_version": "PP-OCRv4",
+    "lang": "en",
+    "use_doc_orientation_classify": False,
+    "use_doc_unwarping": False,
+    "use_textline_orientation": False,
+    "enable_hpi": False,
+}

@@ -20,7 +20,7 @@ def _verdict(raw, value, number, normalized, confidence, status) -> Column:
         as_string(raw).alias("raw_value"), as_string(value).alias("value"),
         (F.lit(None) if number is None else number).cast("double").alias("value_num"), as_string(normalized).alias("normalized_value"),
         F.lit(confidence).cast("double").alias("confidence") if not isinstance(confidence, Column) else confidence.alias("confidence"),
-        F.lit(status).alias("status"),
+        (status if isinstance(status, Column) else F.lit(status)).alias("status"),
     )
 
 
@@ -28,79 +28,109 @@ def nothing_expected() -> Column:
     return _verdict(None, None, None, None, None, "missing")
 
 
+def _first(items: Column) -> Column:
+    return F.get(items, F.lit(0))
+
+
+def _shown(known: Column, found: Column) -> tuple[Column, Column]:
+    """Confidence and status: null confidence where nothing is expected."""
+    return F.when(known, F.when(found, C.FOUND_CONFIDENCE).otherwise(0.0)), F.when(known & found, "found").otherwise("missing")
+
+
 def match_alcohol(expected: Column, text: Column) -> Column:
     """The first percentage within tolerance is found; else the first one is reported as missing."""
-    want = T.expected_alcohol(expected)
-    found = F.arrays_zip(
-        F.regexp_extract_all(text, F.lit(C.ALCOHOL_IN_TEXT), F.lit(0)).alias("raw"),
-        F.transform(F.regexp_extract_all(text, F.lit(C.ALCOHOL_IN_TEXT), F.lit(1)), lambda x: x.try_cast("double")).alias("number"),
-    )
-    hit = F.get(F.filter(found, lambda m: F.abs(m["number"] - want) < C.ALCOHOL_TOLERANCE), F.lit(0))
-    first = F.get(found, F.lit(0))
-    shown = lambda m, confidence, status: _verdict(m["raw"], None, m["number"], m["number"].cast("string"), confidence, status)
-    return (
-        F.when(expected.isNull(), nothing_expected())
-        .when(want.isNull(), _verdict(None, expected, None, None, 0.0, "missing"))
-        .when(hit.isNotNull(), shown(hit, C.FOUND_CONFIDENCE, "found"))
-        .when(first.isNotNull(), shown(first, 0.0, "missing"))
-        .otherwise(_verdict(None, None, want, want.cast("string"), 0.0, "missing"))
-    )
+    number = lambda raw: T.leading_number(raw).try_cast("double")
+    asked = F.struct(expected.alias("expected"), T.expected_alcohol(expected).alias("want"), F.regexp_extract_all(text, F.lit(C.ALCOHOL_IN_TEXT), F.lit(0)).alias("raws"))
+
+    def verdict(x: Column) -> Column:
+        near = F.filter(x["raws"], lambda raw: F.abs(number(raw) - x["want"]) < C.ALCOHOL_TOLERANCE)
+        return T.let(F.struct(_first(near).alias("hit"), F.when(x["want"].isNotNull(), _first(x["raws"])).alias("first")), lambda m: shown(x, m))
+
+    def shown(x: Column, m: Column) -> Column:
+        raw = F.coalesce(m["hit"], m["first"])
+        return T.let(
+            F.struct(raw.alias("raw"), F.coalesce(number(raw), x["want"]).alias("number")),
+            lambda y: _verdict(y["raw"], F.when(x["want"].isNull(), x["expected"]), y["number"], y["number"].cast("string"), *_shown(x["expected"].isNotNull(), m["hit"].isNotNull())),
+        )
+
+    return T.let(asked, verdict)
 
 
 def match_net(expected: Column, text: Column) -> Column:
     """The first quantity of the same canonical form is found; else the first one is reported as missing."""
-    want = T.expected_net(expected)
-    parts = F.arrays_zip(*[F.regexp_extract_all(text, F.lit(C.NET_IN_TEXT), F.lit(k)).alias(n) for k, n in enumerate(("raw", "quantity", "unit"))])
-    found = F.transform(parts, lambda m: F.struct(m["raw"].alias("raw"), T.canonical_quantity(m["quantity"], m["unit"]).alias("form")))
-    hit = F.get(F.filter(found, lambda m: m["form"] == want), F.lit(0))
-    first = F.get(found, F.lit(0))
-    return (
-        F.when(expected.isNull(), nothing_expected())
-        .when(hit.isNotNull(), _verdict(hit["raw"], hit["form"], None, hit["form"], C.FOUND_CONFIDENCE, "found"))
-        .when(first.isNotNull(), _verdict(first["raw"], first["form"], None, first["form"], 0.0, "missing"))
-        .otherwise(_verdict(None, want, None, want, 0.0, "missing"))
+    found = F.transform(F.regexp_extract_all(text, F.lit(C.NET_IN_TEXT), F.lit(0)), lambda raw: F.struct(raw.alias("raw"), T.quantity_form(raw).alias("form")))
+    asked = F.struct(T.expected_net(expected).alias("want"), found.alias("found"))
+
+    def verdict(x: Column) -> Column:
+        known = x["want"].isNotNull()
+        hit, first = _first(F.filter(x["found"], lambda m: m["form"] == x["want"])), _first(x["found"])
+        return T.let(F.struct(hit.isNotNull().alias("is_hit"), F.when(known, F.coalesce(hit, first)).alias("m")), lambda y: (
+            _verdict(y["m"]["raw"], F.coalesce(y["m"]["form"], x["want"]), None, F.coalesce(y["m"]["form"], x["want"]), *_shown(known, y["is_hit"]))
+        ))
+
+    return T.let(asked, verdict)
+
+
+def _by_words(expected: Column, text: Column, contained, least: float) -> Column:
+    """contained: from the normalized expected value and the text, whether it counts as found."""
+    both = T.let(
+        F.struct(expected.alias("expected"), T.normalize(expected).alias("want"), text.alias("text")),
+        lambda x: F.struct(
+            x["expected"].alias("expected"), x["want"].alias("want"), contained(x["want"], x["text"]).alias("is_in"),
+            T.word_share(T.tokens(T.normalize_again(x["want"])), T.tokens(T.normalize_again(x["text"]))).alias("overlap"),
+        ),
     )
 
+    def verdict(x: Column) -> Column:
+        known, value = x["expected"].isNotNull(), x["expected"]
+        partial = x["overlap"] >= least
+        return _verdict(
+            F.when(x["is_in"] | partial, value), value, None, F.when(known, x["want"]),
+            F.when(known, F.when(x["is_in"], C.FOUND_CONFIDENCE).when(partial, F.bround(x["overlap"], 3)).otherwise(0.0)),
+            F.when(known & x["is_in"], "found").when(known & partial, "partial").otherwise("missing"),
+        )
 
-def _by_words(expected: Column, want: Column, contained: Column, text: Column, least: float) -> Column:
-    overlap = T.token_overlap(want, text)
-    return (
-        F.when(expected.isNull(), nothing_expected())
-        .when(contained, _verdict(expected, expected, None, want, C.FOUND_CONFIDENCE, "found"))
-        .when(overlap >= least, _verdict(expected, expected, None, want, F.bround(overlap, 3), "partial"))
-        .otherwise(_verdict(None, expected, None, want, 0.0, "missing"))
-    )
+    return T.let(both, verdict)
 
 
 def match_brand(expected: Column, text: Column) -> Column:
     """Contained in the text; a single short word must stand as a word. Else by the share of its words."""
-    want = T.normalize(expected)
-    short = (F.size(T.tokens(want)) == 1) & (F.char_length(want) < C.SHORT_BRAND)
-    single = short & ~F.contains(want, F.lit(" "))
-    as_word = F.regexp_like(text, F.concat(F.lit(r"\b\Q"), want, F.lit(r"\E\b")))
-    return _by_words(expected, want, F.when(single, as_word).otherwise(F.contains(text, want)), text, C.BRAND_OVERLAP)
+    def contained(want: Column, inside: Column) -> Column:
+        single = (want != "") & (F.char_length(want) < C.SHORT_BRAND) & ~F.contains(want, F.lit(" "))
+        as_word = F.regexp_like(inside, F.concat(F.lit(r"\b\Q"), want, F.lit(r"\E\b")))
+        return F.when(single, as_word).otherwise(F.contains(inside, want))
+
+    return _by_words(expected, text, contained, C.BRAND_OVERLAP)
 
 
 def match_text(expected: Column, text: Column) -> Column:
-    want = T.normalize(expected)
-    return _by_words(expected, want, F.contains(text, want), text, C.TEXT_OVERLAP)
+    return _by_words(expected, text, lambda want, inside: F.contains(inside, want), C.TEXT_OVERLAP)
 
 
 def detect_warning(text: Column) -> Column:
     """A struct (status, confidence, groups_hit, matched_groups, matched_anchors) by groups of keywords."""
-    hits = lambda words: F.filter(F.array(*map(F.lit, words)), lambda w: F.contains(text, w))
-    groups = F.map_from_arrays(
-        F.array(*[F.lit(name) for name, _ in C.WARNING_GROUPS]),
-        F.array(*[F.struct(hits(words).alias("hits"), F.bround(F.size(hits(words)) / F.lit(len(words)), 3).alias("score")) for _, words in C.WARNING_GROUPS]),
-    )
-    count = sum((F.when(F.greatest(*[F.contains(text, F.lit(w)) for w in words]), 1).otherwise(0) for _, words in C.WARNING_GROUPS), F.lit(0))
-    none = F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<struct<hits:array<string>,score:double>>"))
-    return F.struct(
-        F.when(count >= C.WARNING_FOUND, "found").when(count >= C.WARNING_PARTIAL, "partial").otherwise("missing").alias("status"),
-        F.bround(count / F.lit(len(C.WARNING_GROUPS)), 3).alias("confidence"), count.alias("groups_hit"),
-        F.when(text == "", none).otherwise(groups).alias("matched_groups"),
-        F.filter(F.array(*[F.lit(w) for _, words in C.WARNING_GROUPS for w in words]), lambda w: F.contains(text, w)).alias("matched_anchors"),
-    )
+    words = [w for _, group in C.WARNING_GROUPS for w in group]
+    anchors = F.array_remove(F.array(*[F.when(F.contains(text, F.lit(w)), w).otherwise("") for w in words]), "")
+
+    def signals(x: Column) -> Column:
+        has = lambda group: F.arrays_overlap(x["anchors"], F.array(*map(F.lit, group)))
+        count = sum((has(group).cast("int") for _, group in C.WARNING_GROUPS), F.lit(0))
+        return F.struct(x["anchors"].alias("anchors"), x["empty"].alias("empty"), count.alias("count"))
+
+    def group_hits(x: Column, group: list[str]) -> Column:
+        hits = F.array_intersect(F.array(*map(F.lit, group)), x["anchors"])
+        return T.let(hits, lambda h: F.struct(h.alias("hits"), F.bround(F.size(h) / F.lit(len(group)), 3).alias("score")))
+
+    def verdict(x: Column) -> Column:
+        groups = F.map_from_arrays(F.array(*[F.lit(name) for name, _ in C.WARNING_GROUPS]), F.array(*[group_hits(x, group) for _, group in C.WARNING_GROUPS]))
+        none = F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<struct<hits:array<string>,score:double>>"))
+        return F.struct(
+            F.when(x["count"] >= C.WARNING_FOUND, "found").when(x["count"] >= C.WARNING_PARTIAL, "partial").otherwise("missing").alias("status"),
+            F.bround(x["count"] / F.lit(len(C.WARNING_GROUPS)), 3).alias("confidence"), x["count"].alias("groups_hit"),
+            F.when(x["empty"], none).otherwise(groups).alias("matched_groups"), x["anchors"].alias("matched_anchors"),
+        )
+
+    return T.let(T.let(F.struct(anchors.alias("anchors"), (text == "").alias("empty")), signals), verdict)
 
 
 def warnings_list(verdicts: dict[str, Column], warning: Column, required: Column) -> Column:

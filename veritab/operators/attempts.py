@@ -1,18 +1,20 @@
 """Repeated recognition attempts: merging, and stopping once all is found.
 
-Two plans give the same rows. The prefix plan evaluates every prefix of
-recorded attempts by one window over the image's attempts; the wave plan runs
-an attempt only for images that still need it, for engines that are costly.
+Two plans give the same rows. The prefix plan folds over an image's recorded
+attempts and stops judging where all is found; the wave plan runs an attempt
+only for images that still need it, for engines that are costly.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veritab.functions import constants as C
+from veritab.functions import match as M
+from veritab.functions import text as T
 from veritab.operators.verify import evaluate
 from veritab.sources.tables import written
 
@@ -56,20 +58,37 @@ def primary(attempts: DataFrame) -> DataFrame:
     return attempts.filter("region = 'full' AND angle = 0")
 
 
+def _needs_more(application: Column, text: Column) -> Column:
+    """needs_fallback of an application's fields against a text, without anything else of a verdict."""
+    def judged(normalized: Column) -> Column:
+        return M.needs_fallback({n: M.MATCHERS[n](application[n], normalized) for n in C.FIELDS}, M.detect_warning(normalized))
+
+    return T.let(T.normalize(text), judged)
+
+
 def prefix_plan(applications: DataFrame, attempts: DataFrame, key: str = "label_id", required: Column | None = None) -> DataFrame:
     """Each application evaluated at the first prefix of attempts that needs no further one, else at the last.
 
-    One shuffle by key serves the join, the window and the choice. Returns the
+    The attempts of a key meet in one map-side-combined aggregate; a fold goes
+    through them in order, judges the text so far and takes no further one once
+    all is found. Only the chosen text is evaluated in full. Returns the
     evaluated row with text, attempt_no (the last attempt used) and ocr_ms.
     """
-    upto = Window.partitionBy(key).orderBy("attempt_no").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    prefixes = (
-        attempts.select(key, "attempt_no", merged(F.collect_list("text").over(upto)).alias("text"), F.sum("elapsed_ms").over(upto).alias("ocr_ms"))
-    )
-    evaluated = evaluate(prefixes.join(applications, key), "text", required)
-    everything = Window.partitionBy(key)
-    stop = F.coalesce(F.min(F.when(~F.col("needs_fallback"), F.col("attempt_no"))).over(everything), F.max("attempt_no").over(everything))
-    return evaluated.withColumn("stop", stop).filter("attempt_no = stop").drop("stop")
+    tries = attempts.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("attempt_no", F.col("text"), F.col("elapsed_ms").cast("double").alias("ms")))).alias("__tries"))
+    number = attempts.schema["attempt_no"].dataType
+    start = F.struct(F.lit("").alias("text"), F.lit(0.0).alias("ocr_ms"), F.lit(None).cast(number).alias("attempt_no"), F.lit(True).alias("more"))
+    application = F.struct(*[F.col(n) for n in C.FIELDS])
+
+    def take(so_far: Column, attempt: Column) -> Column:
+        return T.let(merged(F.array(so_far["text"], attempt["text"])), lambda text: F.struct(
+            text.alias("text"), (so_far["ocr_ms"] + F.coalesce(attempt["ms"], F.lit(0.0))).alias("ocr_ms"),
+            attempt["attempt_no"].alias("attempt_no"), _needs_more(application, text).alias("more"),
+        ))
+
+    fold = F.aggregate("__tries", start, lambda so_far, attempt: F.when(so_far["more"], take(so_far, attempt)).otherwise(so_far))
+    chosen = applications.join(tries, key).withColumn("__chosen", fold)
+    chosen = chosen.select(*applications.columns, *[F.col(f"__chosen.{c}").alias(c) for c in ("text", "ocr_ms", "attempt_no")])
+    return evaluate(chosen, "text", required)
 
 
 def wave_plan(

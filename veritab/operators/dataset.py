@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veritab.functions import constants as C
 from veritab.functions import text as T
+from veritab.sources import files
 
 DONE = ("ok",)
 
@@ -59,14 +62,37 @@ def reuse(pending_rows: DataFrame, prior: DataFrame, images: DataFrame, key: str
 def merge_metadata(records: DataFrame, prior: DataFrame, fetched: DataFrame, key: str = "id") -> DataFrame:
     """What a run leaves: untouched prior rows, and processed records updated by what was fetched.
 
-    The result is written to a new table and swapped in, so a run that fails
-    leaves the prior table; running again skips what is done.
+    replace() swaps it in for the prior table, so a run that fails leaves the
+    prior table; running again skips what is done.
     """
     todo = pending(records, prior, key)
     fresh = update(todo, fetched, key)
     return kept(prior, todo, key).drop("first_row").unionByName(fresh, allowMissingColumns=True)
 
 
+def replace(rows: DataFrame, path: str, write: Callable[[DataFrame, str], None] = files.write_records) -> None:
+    """Write rows beside the table at path and swap it in, so rows may be read from that table.
+
+    A run that fails before the swap leaves the old table as it was; one that
+    fails within it leaves the old table at path + ".old", which is put back
+    first when the function is called again.
+    """
+    spark = rows.sparkSession
+    at = lambda p: spark.sparkContext._jvm.org.apache.hadoop.fs.Path(p)
+    system = at(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    new, old = f"{path}.new", f"{path}.old"
+    if system.exists(at(old)) and not system.exists(at(path)):
+        system.rename(at(old), at(path))
+    system.delete(at(new), True)
+    write(rows, new)
+    system.delete(at(old), True)
+    if system.exists(at(path)) and not system.rename(at(path), at(old)):
+        raise OSError(f"{path} cannot be moved")
+    if not system.rename(at(new), at(path)):
+        raise OSError(f"{new} cannot be moved")
+    system.delete(at(old), True)
+
+
 def with_extra_columns(rows: DataFrame, extra: list[str] = C.EXTRA_COLUMNS) -> DataFrame:
     return rows.withColumns({c: F.lit("") for c in extra if c not in rows.columns})
 
@@ -99,10 +125,9 @@ def curate(master: DataFrame) -> DataFrame:
     return master.filter(filled("net_contents") & filled("alcohol_content") & filled("brand_name_detail") & filled("image_path") & (F.col("fetch_status") == "ok") & (F.col("variant_type") == "original"))
 
 
-def lookup(rows: DataFrame, key: str, value: object, column: str) -> object:
-    """The first row's value for a key, or None."""
-    found = rows.filter(F.col(key) == F.lit(value)).select(column).head(1)
-    return found[0][0] if found else None
+def lookup(rows: DataFrame, key: str, value: object, column: str, order: str = "row_no") -> object:
+    """The first row's value (by `order`) for a key, or None."""
+    return rows.filter(F.col(key) == F.lit(value)).agg(F.min_by(column, order)).first()[0]
 
 
 def prefix(rows: DataFrame, most: int | None, order: str = "row_no") -> DataFrame:
@@ -140,7 +165,7 @@ def master(rows: DataFrame, existing: DataFrame, variants: DataFrame, key: str =
     return originals(rows).unionByName(had, allowMissingColumns=True).unionByName(new.join(base, key), allowMissingColumns=True)
 
 
-def numbered(rows: DataFrame, *order: str) -> DataFrame:
+def numbered(rows: DataFrame, *order: str | Column) -> DataFrame:
     """rows with record_no (from 1, by `order`) and records (how many there are).
 
     Rows are sorted by range and numbered inside their partitions; each

@@ -65,7 +65,8 @@ def variant_rollup(evaluated: DataFrame, variant: str = "variant_type") -> DataF
 
 def top_warnings(evaluated: DataFrame, order: str = "label_id", most: int = 20) -> DataFrame:
     """The most frequent warnings; ties go to the one met first."""
-    each = evaluated.select(order, F.posexplode("warnings").alias("at", "warning"))
+    # outer: a plain one would put a filter below the projections that evaluates all verdicts once more
+    each = evaluated.select(order, F.posexplode_outer("warnings").alias("at", "warning")).filter("warning is not null")
     counted = each.groupBy("warning").agg(F.count(F.lit(1)).alias("count"), F.min(F.struct(F.col(order), "at")).alias("first"))
     return counted.orderBy(F.desc("count"), "first").limit(most).select("warning", "count")
 

@@ -14,7 +14,8 @@ def evaluate(rows: DataFrame, text: str = "text", required: Column | None = None
     """rows with the expected values and `text`, plus normalized_text, a verdict struct for each field,
     government_warning, warnings and needs_fallback.
 
-    Every stage is a projection of its own, so expensive expressions are computed once.
+    Every stage is a projection of its own whose columns the next one needs more
+    than once, so Catalyst keeps them apart and a verdict is computed once.
     """
     out = rows.withColumn("normalized_text", T.normalize(F.col(text)))
     out = out.withColumns({f"{n}_verdict": M.MATCHERS[n](F.col(n), F.col("normalized_text")) for n in C.FIELDS} | {"government_warning": M.detect_warning(F.col("normalized_text"))})
