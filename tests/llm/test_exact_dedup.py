@@ -58,3 +58,23 @@ def test_kept_rows_keep_their_columns(spark):
     df = spark.createDataFrame([(1, "a", "x", 1), (2, "a", "y", 2), (3, "b", None, None)], SCHEMA)
     out = exact_dedup.keep_first_copies(df, new_index(spark))
     assert out.columns == df.columns and sorted(r["doc_id"] for r in out.collect()) == [2, 3]
+
+
+def test_a_batch_that_is_run_again_keeps_its_verdicts(spark):
+    index = new_index(spark)
+    df = spark.createDataFrame([(1, "a", "x", 1), (2, "a", "x", 1), (3, "b", "x", 1)], SCHEMA)
+    show = lambda batch: sorted((r["doc_id"], r["keep_id"], r["kept"]) for r in exact_dedup.deduplicate(df, index, batch=batch).collect())
+    first = show("monday")
+    assert first == [(1, 2, False), (2, 2, True), (3, 3, True)] == show("monday")
+    assert index.rows().count() == 2
+    assert [x[2] for x in show("tuesday")] == [False] * 3 and show("monday") == first
+    kept = lambda batch: sorted(r["doc_id"] for r in exact_dedup.keep_first_copies(df, index, batch=batch).collect())
+    assert kept("monday") == [2, 3] and kept("wednesday") == []
+
+
+def test_rows_are_judged_by_id_and_text(spark):
+    rows = [(1, "u", "p", 1), (1, "x", "p", 1), (5, "x", "p", 1), (7, "y", "p", 1), (7, "y", "q", 2), (None, "z", "p", 1), (None, "z", "p", 1), (None, "x", "p", 1), (8, None, "p", 1), (9, "", "p", 1)]
+    for bound in (0, 1000):
+        out = exact_dedup.keep_first_copies(spark.createDataFrame(rows, SCHEMA), new_index(spark), bound=bound)
+        assert out.columns == ["doc_id", "text", "digest", "keep_id"]
+        assert sorted(((r["doc_id"] or 0, r["text"]) for r in out.collect())) == [(0, "z"), (1, "u"), (5, "x"), (7, "y"), (9, "")]

@@ -101,3 +101,29 @@ def test_pairs_inside_a_crowded_region(spark):
     rows = shared_passage(docs, pairs, 50, 6)  # others 536 of 636 shingles in common (0.843), pairs 542 of 630 (0.860)
     got = run(spark, rows)
     assert {i: c for i, (_, c, _) in got.items()} == {i: docs - 1 - i if i >= docs - pairs else i for i in range(docs)}
+
+
+def test_components_do_not_depend_on_partitions(spark):
+    rows = shared_passage(300, 20, 50, 6, seed=8) + [(1000 + i, t) for i, t in corpus(3, families=10)]
+    key, before, found = "spark.sql.shuffle.partitions", spark.conf.get("spark.sql.shuffle.partitions"), []
+    try:
+        for n in ("4", "211"):
+            spark.conf.set(key, n)
+            found.append(run(spark, rows))
+    finally:
+        spark.conf.set(key, before)
+    assert found[0] == found[1] == brute(rows)
+
+
+def test_representatives_are_rows(spark):
+    text = lambda mark: " ".join(f"{mark}{k}" for k in range(40))
+    rows = [
+        (1, text("a"), "p"), (1, text("b"), "p"), (2, text("a") + " more", "p"), (None, text("b") + " more", "p"), (None, text("c"), "p"), (None, text("c"), "p"),
+        (5, None, "p"), (5, "", "p"), (6, text("d"), "p"), (6, text("d"), "q"), (0, text("e"), "p"), (1, text("e") + " more", "p"),
+    ]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, node string")
+    got = near_dedup.keep_representatives(docs)
+    assert got.columns == docs.columns
+    kept = sorted((-1 if r["doc_id"] is None else r["doc_id"], (r["text"] or "")[:2]) for r in got.collect())
+    assert kept == [(-1, "c0"), (0, "e0"), (1, "a0"), (1, "b0"), (5, ""), (6, "d0")]
+    assert near_dedup.keep_representatives(docs.limit(0)).count() == 0

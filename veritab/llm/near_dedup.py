@@ -25,8 +25,9 @@ folder.
 Edge cases: a null text, or one without words, has no shingles, links with
 nothing and is its own component; fewer words than a shingle are one shingle;
 rows without an id link with nothing, have no component and are kept; rows that
-share an id are one node; repeated texts link as equal sets; an empty table
-gives no rows; further columns are ignored.
+share an id are one node (keep_representatives() tells them apart); repeated
+texts link as equal sets; an empty table gives no rows; further columns are
+ignored.
 """
 
 from __future__ import annotations
@@ -41,11 +42,14 @@ from pyspark.sql import functions as F
 
 from veritab.llm import shared
 from veritab.llm.blocks import release
+from veritab.operators.dataset import numbered
 
+#: Trees of the forest; signature values of a tree's order; members up to which a region's pairs are all candidates.
 TREES, DEPTH, REGION = 16, 8, 8
 SLOTS = TREES * DEPTH
+#: Rows of a run in order of set size, at the full depth.
 CHAIN = 64
-#: Members and shingles of a block of a crowded region, about.
+#: Members and shingles of a block of a crowded region, about: what one task compares with another block.
 BLOCK, BLOCK_SHINGLES = 1024, 500_000
 #: Pairs that have a shingle in common, beyond which it is counted by matrices; columns of one.
 DENSE, COLUMNS = 2048, 2048
@@ -270,6 +274,19 @@ def components(edges: DataFrame, rounds: int = 100) -> DataFrame:
     return stars.unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
 
 
+def extended(group: DataFrame, links: DataFrame) -> DataFrame:
+    """group (node, component) after further links (a, b); only components that a link joins are gone through again."""
+    end = lambda e: group.select(F.col("node").alias(e), F.col("component").alias(f"{e}_in")).hint("merge")
+    between = links.join(end("a"), "a", "left").join(end("b"), "b", "left").select(F.coalesce("a_in", "a").alias("a"), F.coalesce("b_in", "b").alias("b"))
+    between = shared.materialize(between.filter("a <> b").distinct(), "links-between")
+    if between.isEmpty():
+        return group
+    over = shared.materialize(components(between), "components-over")
+    moved = group.join(over.select(F.col("node").alias("component"), F.col("component").alias("now")).hint("merge"), "component", "left")
+    moved = moved.select("node", F.coalesce("now", "component").alias("component"))
+    return shared.materialize(moved.unionByName(over.join(group.select("node").hint("merge"), "node", "left_anti")), "components")
+
+
 def _in_blocks(crowd: DataFrame, run: Callable[[pa.Table], pa.Table], schema: str) -> DataFrame:
     """run() over every two blocks of a region that can hold two components.
 
@@ -373,12 +390,13 @@ def _joining_links(table: pa.Table, threshold: int) -> pa.Table:
     return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
 
-def _settle_crowds(docs: DataFrame, classes: DataFrame, crowded: DataFrame, links: DataFrame, width: int, threshold: int) -> DataFrame:
-    """Components of links and of what members of crowded regions still hide from their pivots."""
-    found = shared.materialize(components(links), "components-so-far")
+def _settle_crowds(docs: DataFrame, classes: DataFrame, crowded: DataFrame, found: DataFrame, width: int, threshold: int) -> DataFrame:
+    """The components `found`, after what members of crowded regions still hide from their pivots."""
     members = crowded.join(found.hint("merge"), "node", "left").withColumn("component", F.coalesce("component", "node"))
     mixed = members.groupBy("region").agg(F.min("component").alias("least"), F.max("component").alias("most")).filter("least < most").select("region")
     members = shared.materialize(members.join(mixed.hint("merge"), "region", "left_semi").select("region", "node", "n", "component"), "crowd-members")
+    if members.isEmpty():
+        return found
     involved = members.select("node").distinct()
     short = shared.with_ids(classes.select("node", "signature"), involved, "node").mapInArrow(_low_bytes, "node bigint, short binary").withColumnRenamed("short", "payload")
     likely = _in_blocks(members.join(short.hint("merge"), "node"), lambda t: _likely_members(t, threshold), "region bigint, node bigint").distinct()
@@ -388,9 +406,7 @@ def _settle_crowds(docs: DataFrame, classes: DataFrame, crowded: DataFrame, link
     involved = likely.select(F.col("node").alias("doc_id")).distinct()
     sets = shared.materialize(_shingle_sets(docs, involved, width), "crowd-sets").withColumnRenamed("shingles", "payload")
     more = shared.materialize(_in_blocks(likely.join(sets.hint("merge"), "node"), lambda t: _joining_links(t, threshold), "a bigint, b bigint"), "crowd-links")
-    if more.isEmpty():
-        return found
-    return shared.materialize(components(links.unionByName(more)), "components")
+    return extended(found, more)
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, threshold: int = 85) -> DataFrame:
@@ -420,8 +436,8 @@ def near_duplicates(docs: DataFrame, width: int = 5, threshold: int = 85) -> Dat
         likely.filter("not first").select("a", "b").join(of("a"), "a", "left").join(of("b"), "b", "left")
         .filter(F.coalesce("a_in", "a") != F.coalesce("b_in", "b")).select("a", "b")
     )
-    links = links.unionByName(shared.materialize(_confirm(apart, sets, threshold), "further-links"))
-    found = _settle_crowds(docs, classes, crowded, links, width, threshold)
+    found = extended(group, shared.materialize(_confirm(apart, sets, threshold), "further-links"))
+    found = _settle_crowds(docs, classes, crowded, found, width, threshold)
     of_class = classes.select("set_key", "node").join(found.hint("merge"), "node", "left").select("set_key", F.coalesce("component", "node").alias("component"))
     linked = rows.filter("set_key is not null and doc_id is not null").select("doc_id", "n", "set_key").join(of_class.hint("merge"), "set_key").select("doc_id", "n", "component")
     alone = rows.filter("set_key is null or doc_id is null").select("doc_id", "n", F.col("doc_id").alias("component"))
@@ -431,5 +447,23 @@ def near_duplicates(docs: DataFrame, width: int = 5, threshold: int = 85) -> Dat
 
 
 def keep_representatives(docs: DataFrame, threshold: int = 80) -> DataFrame:
-    """docs, all columns, without the rows that near_duplicates() does not keep at the threshold (percent)."""
-    return shared.without_ids(docs, near_duplicates(docs, threshold=threshold).filter("not kept").select("doc_id"), "doc_id")
+    """docs, all columns, with one row of each component of near duplicates at the threshold (percent).
+
+    Where ids are unique and not null they are the nodes, and the smallest id of
+    a component stays. Else every distinct pair of id and text is a node, in
+    that order and nulls last, so rows that share an id, or have none, are
+    judged by their own texts; of rows that repeat id and text one stays.
+    """
+    ids = docs.select(F.col("doc_id").cast("bigint").alias("id"))
+    if ids.filter("id is null").isEmpty() and ids.groupBy("id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").isEmpty():
+        return shared.without_ids(docs, near_duplicates(docs, threshold=threshold).filter("not kept").select("doc_id"), "doc_id")
+    digest = F.unhex(F.sha2(F.coalesce(F.col("text").cast("string"), F.lit("")), 256))
+    keyed = docs.withColumns({"__id": F.col("doc_id").cast("bigint"), "__digest": digest})
+    pairs = keyed.groupBy("__id", "__digest").agg(F.count(F.lit(1)).alias("__copies"))
+    pairs = numbered(pairs, F.col("__id").asc_nulls_last(), "__digest").select(F.col("__id").alias("__i"), F.col("__digest").alias("__d"), "__copies", F.col("record_no").alias("__node"))
+    nodes = shared.materialize(keyed.join(pairs.hint("merge"), (F.col("__digest") == F.col("__d")) & F.col("__id").eqNullSafe(F.col("__i"))).drop("__i", "__d"), "near-nodes")
+    once = nodes.groupBy("__node").agg(F.min_by("text", F.xxhash64("text")).alias("text")).withColumnRenamed("__node", "doc_id")
+    dropped = near_duplicates(once, threshold=threshold).filter("not kept").select(F.col("doc_id").alias("__node"))
+    left = shared.without_ids(nodes, dropped, "__node")
+    single, repeated = left.filter("__copies = 1").select(*docs.columns), left.filter("__copies > 1")
+    return single.unionByName(shared.one_of_each(repeated, ["__node"], docs.columns))

@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from veritab.sources.tables import new_path, shared_dir  # noqa: F401
+from veritab.sources.tables import delete_path, mark, new_path, new_table, shared_dir, sweep  # noqa: F401
 
 
 def materialize(df: DataFrame, label: str, partition_by: str | None = None) -> DataFrame:
@@ -24,7 +23,7 @@ def materialize(df: DataFrame, label: str, partition_by: str | None = None) -> D
 def materialize_bucketed(df: DataFrame, label: str, partition_by: str, bucket_by: str, buckets: int) -> DataFrame:
     """As materialize(), but rows with equal `bucket_by` need no shuffle to meet others that are dealt by it."""
     spark = df.sparkSession
-    table = f"veritab_{label.replace('-', '_')}_{uuid.uuid4().hex}"
+    table = new_table(label)
     writer = df.write.format("parquet").option("compression", "zstd").option("path", new_path(spark, label))
     writer.partitionBy(partition_by).bucketBy(buckets, bucket_by).saveAsTable(table)
     return spark.table(table)
@@ -35,12 +34,6 @@ def discard(df: DataFrame) -> None:
     delete_path(df.sparkSession, df._veritab_path)
 
 
-def delete_path(spark: SparkSession, path: str) -> None:
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
-
-
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -75,3 +68,16 @@ def with_ids(df: DataFrame, ids: DataFrame, column: str, bound: int = BROADCAST_
     """The rows of df whose column is in ids; broadcast behind the same check."""
     small = ids.count() <= bound
     return df.join(F.broadcast(ids) if small else ids.hint("merge"), column, "left_semi")
+
+
+def _has_map(kind: T.DataType) -> bool:
+    if isinstance(kind, T.StructType):
+        return any(_has_map(f.dataType) for f in kind.fields)
+    return _has_map(kind.elementType) if isinstance(kind, T.ArrayType) else isinstance(kind, (T.MapType, T.VariantType))
+
+
+def one_of_each(df: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
+    """Of the rows with equal keys the one with the least hash of its columns (maps left out), as `columns`."""
+    hashed = [F.col(c) for c in columns if not _has_map(df.schema[c].dataType)]
+    row = F.struct(*[F.col(c) for c in columns])
+    return df.groupBy(*keys).agg(F.min_by(row, F.xxhash64(*hashed)).alias("__row")).select("__row.*")
