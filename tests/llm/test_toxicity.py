@@ -76,3 +76,33 @@ def test_labels_of_held_out_rows_are_not_used(spark):
     flipped = labels.withColumn("toxic", F.when(toxicity.held_out(), 1 - F.col("toxic")).otherwise(F.col("toxic")))
     a, b = toxicity.fit_on(docs, labels), toxicity.fit_on(docs, flipped)
     assert a["weights"] == b["weights"]
+
+
+def test_long_labelled_texts_are_passed_over(spark):
+    rows = corpus(400)
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id bigint, toxic int")
+    docs = spark.createDataFrame([(i, t if i % 3 else t + " wordaa" * 20_000) for i, t, _ in rows], "doc_id bigint, text string")
+    model = toxicity.fit_on(docs, labels, max_bytes=200_000)
+    got = {r["doc_id"]: r["score"] for r in toxicity.score(docs, model).collect()}
+    assert all((got[i] >= 0.5) == bool(y) for i, _, y in rows if i % 3)
+    with pytest.raises(ValueError, match="fits"):
+        toxicity.fit_on(docs, labels, max_bytes=100)
+
+
+def test_repeated_rows_and_ids(spark):
+    rows = corpus(300)
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows for _ in range(1 + i % 2)] + [(1, "other text")], "doc_id bigint, text string")
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows] * 2, "doc_id bigint, toxic int")
+    scored = toxicity.score(docs, toxicity.fit_on(docs, labels)).collect()
+    assert len(scored) == docs.count()
+    assert all((r["score"] >= 0.5) == (r["doc_id"] % 5 == 0) for r in scored if r["doc_id"] != 1)
+
+
+def test_held_out_rows_of_the_tables(spark):
+    folder = "/root/testdata/sf0.1"  # of the smaller ones too few rows are labelled toxic
+    docs, labels = spark.read.parquet(f"{folder}/documents.parquet"), spark.read.parquet(f"{folder}/labels.parquet")
+    scored = toxicity.score(docs, toxicity.fit_on(docs, labels)).withColumn("held_out", toxicity.held_out())
+    found = scored.filter("held_out").join(labels, "doc_id").select("toxic", (F.col("score") >= 0.5).alias("predicted")).collect()
+    toxic, clean = [r["predicted"] for r in found if r["toxic"] == 1], [r["predicted"] for r in found if r["toxic"] == 0]
+    assert len(toxic) > 5 and len(clean) > 50
+    assert sum(toxic) >= 0.9 * len(toxic) and sum(clean) <= 0.02 * len(clean)

@@ -10,13 +10,16 @@ a document's score is a logistic function of its largest marginal and of the
 expected number of toxic tokens, so it reads the whole text and nothing else.
 
 The fit takes at most `max_clean` and `max_toxic` labelled documents (the first
-by a hash of their ids) of at most `max_bytes` together; scoring covers all.
+by a hash of their ids that fit) of at most `max_bytes` together; scoring covers
+all.
 
 Edge cases: a null or empty text, or one without letters, gets the score of a
 document without evidence; null ids or labels are not learnt from; ids labelled
 both ways count as toxic; without toxic or without clean examples every score
 is 0 or 1, whichever was seen (0 without any); ties in the sample's hash are
-broken by id; repeated rows get equal scores; an empty table gives no rows;
+broken by id; repeated rows are learnt from as often as they occur and get equal
+scores; a labelled text that exceeds what is left of the sample's bytes is
+passed over; an empty table gives no rows;
 further columns pass through reject() untouched.
 """
 
@@ -278,23 +281,37 @@ def score_texts(model: dict, texts: list[str], cache: _Emission | None = None, s
     return 1 / (1 + np.exp(-x @ model["score"])), found
 
 
-def fit_on(docs: DataFrame, labels: DataFrame, max_toxic: int = 600, max_clean: int = 1800, max_bytes: int = 32 << 20) -> dict:
-    """Fit on labelled rows that are not held out; the sample is bounded by the parameters."""
-    marks = labels.filter(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    marks = marks.filter(~held_out())
-    take = lambda toxic, n: marks.filter(F.col("toxic") == toxic).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n)
-    sample = take(1, max_toxic).unionByName(take(0, max_clean))
-    ids = docs.sparkSession.createDataFrame(sample.collect(), "doc_id bigint, toxic int")  # at most max_toxic + max_clean rows
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(ids), "doc_id")
-    rows = rows.withColumn("kept", F.xxhash64("doc_id", F.lit(7))).orderBy("kept", "doc_id").limit(max_toxic + max_clean)
-    texts, toxic, held = [], [], 0
-    for row in rows.toLocalIterator():
-        held += len(row["text"].encode())
-        if held > max_bytes:
-            break
-        texts.append(row["text"])
-        toxic.append(row["toxic"] == 1)
-    return fit(texts, toxic)
+def fit_on(docs: DataFrame, labels: DataFrame, max_toxic: int = 600, max_clean: int = 1800, max_bytes: int = 32 << 20, spare: int = 4) -> dict:
+    """Fit on labelled rows that are not held out; the sample is bounded by the parameters.
+
+    Of either kind the first ids by a hash are looked at, `spare` times as many
+    as are taken; toxic and clean texts fill their own share of `max_bytes`, and
+    a text that does not fit into what is left of it is passed over. Sizes are
+    read first: what reaches the driver is at most `max_bytes` of texts. Raises
+    if labels of both kinds have texts and none of one kind fits.
+    """
+    marks = labels.filter(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull()).groupBy(F.col("doc_id").cast("bigint").alias("doc_id")).agg(F.max("toxic").alias("toxic"))
+    marks = marks.filter(~held_out()).withColumn("place", F.xxhash64("doc_id"))
+    most = {1: max_toxic, 0: max_clean}
+    take = lambda toxic: marks.filter(F.col("toxic") == toxic).orderBy("place", "doc_id").limit(spare * most[toxic])
+    spark = docs.sparkSession
+    asked = spark.createDataFrame(take(1).unionByName(take(0)).collect(), "doc_id bigint, toxic int, place bigint")  # bounded by the parameters
+    texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    sizes = texts.select("doc_id", F.octet_length("text").cast("bigint").alias("size")).join(F.broadcast(asked), "doc_id")
+    found = sizes.groupBy("doc_id", "toxic", "place").agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("rows")).collect()  # at most a row an id
+    taken, left = {0: [], 1: []}, {k: max_bytes * most[k] // max(1, sum(most.values())) for k in most}
+    for r in sorted(found, key=lambda r: (r["place"], r["doc_id"])):
+        if len(taken[r["toxic"]]) < most[r["toxic"]] and r["size"] <= left[r["toxic"]]:
+            taken[r["toxic"]].append(r["doc_id"])
+            left[r["toxic"]] -= r["size"]
+    kinds = {r["toxic"] for r in found}
+    for kind in kinds:
+        if not taken[kind] and len(kinds) > 1:
+            raise ValueError(f"no labelled text with toxic = {kind} fits into its share of {max_bytes} bytes")
+    ids = spark.createDataFrame([(i, k) for k, some in taken.items() for i in some], "doc_id bigint, toxic int")
+    rows = texts.join(F.broadcast(ids), "doc_id").select("doc_id", "toxic", "text").collect()
+    rows.sort(key=lambda r: (r["doc_id"], r["text"]))
+    return fit([r["text"] for r in rows], [r["toxic"] == 1 for r in rows])
 
 
 def _slices(texts: pa.Array, most: int = GROUP_BYTES) -> Iterator[tuple[int, list[str]]]:
