@@ -68,3 +68,11 @@ def test_long_header_and_counts(spark):
     warc.require_whole(records, manifest)
     with pytest.raises(ValueError, match="records read"):
         warc.require_whole(records.filter("page_id = 1"), manifest)
+
+
+def test_rows_that_repeat_a_page_id(spark):
+    rows = [(5, "u", "a"), (5, "v", "a"), (5, "u", "b"), (3, "u", "a"), (3, "u", "a")]
+    got = warc.read_warc(warc.write_warc(pages(spark, rows), shared.new_path(spark, "warc"))).collect()
+    assert sorted((r["page_id"], r["record_type"], r["refers_to"] or 0, r["payload_digest"] == warc.base32_sha1(b"a")) for r in got) == [
+        (3, "revisit", 5, True), (3, "revisit", 5, True), (5, "response", 0, False), (5, "response", 0, True), (5, "response", 0, True),
+    ]

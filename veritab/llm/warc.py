@@ -125,41 +125,40 @@ def _headers(lines: list[bytes]) -> dict[str, str]:
     return {k.strip().lower().decode("latin-1"): v.strip().decode("utf-8", "replace") for k, _, v in pairs}
 
 
-def _inflate(source: BinaryIO, offset: int) -> tuple[bytes, int] | None:
-    """The member at offset and where it ends; None if it is damaged or none."""
-    inflate, data, at = zlib.decompressobj(31), bytearray(), offset
+def _content_length(head: bytes) -> int | None:
+    """The length that a header block names, if it is one of a record."""
+    length = _headers(head.split(CRLF)[1:]).get("content-length", "")
+    return int(length) if length.isdigit() else None
+
+
+def _record_at(source: BinaryIO, offset: int) -> tuple[bytes, bytes, int] | None:
+    """Header block, block and end of the member at offset; None if it is damaged or no record.
+
+    A member is inflated once. It is given up at the first bytes that are no
+    version line, or where its header block, of any length, names no length.
+    """
+    inflate, data, at, head = zlib.decompressobj(31), bytearray(), offset, -1
     source.seek(offset)
+    step = 4096  # most false candidates end here
     while not inflate.eof:
-        chunk = source.read(STEP)
+        chunk = source.read(step)
         if not chunk:
             return None
+        seen, step = max(0, len(data) - len(CRLF + CRLF) + 1), STEP
         try:
             data += inflate.decompress(chunk)
         except zlib.error:
             return None
         at += len(chunk)
-    return bytes(data), at - len(inflate.unused_data)
-
-
-def _is_record(source: BinaryIO, offset: int) -> bool:
-    """Whether a member at offset begins with a WARC header block, of any length, that has a content length."""
-    inflate, data = zlib.decompressobj(31), bytearray()
-    source.seek(offset)
-    while not inflate.eof:
-        chunk = source.read(4096)
-        if not chunk:
-            return False
-        seen = max(0, len(data) - len(CRLF + CRLF) + 1)
-        try:
-            data += inflate.decompress(chunk)
-        except zlib.error:
-            return False
-        if not data.startswith(VERSION[: len(data)]):
-            return False
-        end = data.find(CRLF + CRLF, seen)
-        if end >= 0:
-            return _headers(bytes(data[:end]).split(CRLF)[1:]).get("content-length", "").isdigit()
-    return False
+        if head < 0:
+            if not data.startswith(VERSION[: len(data)]):
+                return None
+            head = data.find(CRLF + CRLF, seen)
+            if head >= 0 and _content_length(bytes(data[:head])) is None:
+                return None
+    if head < 0:
+        return None
+    return bytes(data[:head]), bytes(data[head + len(CRLF + CRLF) :]), at - len(inflate.unused_data)
 
 
 def records_in_range(source: BinaryIO, start: int, end: int) -> Iterator[tuple[int, dict[str, str], bytes]]:
@@ -173,14 +172,13 @@ def records_in_range(source: BinaryIO, start: int, end: int) -> Iterator[tuple[i
             at += max(1, len(chunk) - len(MAGIC) + 1)
             continue
         at += found
-        whole = _inflate(source, at) if _is_record(source, at) else None
+        whole = _record_at(source, at)
         if whole is None:
             at += 1
             continue
-        head, _, rest = whole[0].partition(CRLF + CRLF)
-        headers = _headers(head.split(CRLF)[1:])
-        yield at, headers, rest[: int(headers["content-length"])]
-        at = whole[1]
+        head, block, after = whole
+        yield at, _headers(head.split(CRLF)[1:]), block[: _content_length(head)]
+        at = after
 
 
 def _page(urn: str | None) -> int | None:
