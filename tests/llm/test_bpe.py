@@ -25,7 +25,8 @@ def test_round_trip(spark, monkeypatch, block_bytes):
     monkeypatch.setattr(bpe, "BLOCK_BYTES", block_bytes)
     texts = [None, "", "  a  b", "it's", "x" * 5000, "日本語 text", "a\x00b\x1c c", "the the the"] * 4
     docs = spark.createDataFrame([(i if i != 5 else None, t, -1, "k") for i, t in enumerate(texts)], "doc_id bigint, text string, block int, kind string").repartition(3)
-    encoded = bpe.encode(docs, PATH, public_tokenizers.PATTERN)
+    encoded = bpe.encode(docs, PATH, public_tokenizers.PATTERN, carry=("block", "kind"))
+    assert {tuple(r["carried"]) for r in encoded.collect()} == {("-1", "k")}
     ids = {r["doc_id"]: r["ids"] for r in encoded.collect()}
     assert ids == {(i if i != 5 else None): ENCODER.encode_ordinary(t or "") for i, t in enumerate(texts)}
     back = {r["doc_id"]: bytes(r["decoded"]) for r in bpe.decode(encoded, PATH).collect()}
@@ -42,3 +43,19 @@ def test_unknown_id_is_an_error():
     table = bpe.byte_table(PATH)
     with pytest.raises(ValueError):
         bpe.decode_ids(np.array([60000]), table)
+
+
+def test_blocks_of_a_task_share_a_bucket(spark):
+    from itertools import islice
+
+    from pyspark.sql import functions as F
+
+    from veritab.llm.blocks import block_numbers, spark_hash
+
+    numbers = [0, 1, -1, 2**31, 2**40 + 7, 5 << 32]
+    got = [r[0] for r in spark.createDataFrame([(n,) for n in numbers], "n bigint").select(F.hash("n")).collect()]
+    assert spark_hash(np.array(numbers)).tolist() == got
+    for task, buckets in ((0, 8), (13, 5), (70_000, 100_000)):
+        some = list(islice(block_numbers(task, buckets), 5))
+        assert len(set(some)) == 5 and {n >> 32 for n in some} == {task}
+        assert {int(h) % buckets for h in spark_hash(np.array(some))} == {task % buckets}

@@ -3,12 +3,18 @@
 from __future__ import annotations
 
 import ctypes
+from collections.abc import Iterator
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
 import zstandard
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 LEVEL = 3
+#: Bytes of text that a block holds, and that a bucket answers for, about; buckets at least; buckets of a table at most.
+BLOCK_BYTES, BUCKET_BYTES, LEAST_BUCKETS, MOST_TABLE_BUCKETS = 8 << 20, 8 << 20, 8, 100_000
 
 
 def release() -> None:
@@ -31,13 +37,15 @@ def unpack(payload: bytes) -> np.ndarray:
     return np.ascontiguousarray(planes.T).view(f"<u{raw[0]}").ravel()
 
 
-def pack_sorted(numbers: np.ndarray) -> bytes:
-    """Ascending unsigned 64-bit integers, as differences."""
-    return pack(np.diff(numbers, prepend=np.zeros(1, np.uint64)))
+def pack_pairs(left: np.ndarray, right: np.ndarray) -> bytes:
+    """Two equally long arrays of unsigned 64-bit integers."""
+    first = pack(left)
+    return len(first).to_bytes(4, "little") + first + pack(right)
 
 
-def unpack_sorted(payload: bytes) -> np.ndarray:
-    return np.cumsum(unpack(payload), dtype=np.uint64)
+def unpack_pairs(payload: bytes) -> tuple[np.ndarray, np.ndarray]:
+    cut = 4 + int.from_bytes(payload[:4], "little")
+    return unpack(payload[4:cut]), unpack(payload[cut:])
 
 
 def pack_floats(numbers: np.ndarray) -> bytes:
@@ -74,3 +82,32 @@ def runs(labels: np.ndarray) -> list[tuple[int, int]]:
         return []
     edges = [0, *(np.flatnonzero(labels[1:] != labels[:-1]) + 1).tolist(), len(labels)]
     return list(zip(edges, edges[1:], strict=False))
+
+
+def bucket_count(docs: DataFrame, text_col: str, bucket_bytes: int = BUCKET_BYTES) -> int:
+    """Buckets in proportion to the counted bytes of text, so that a bucket's share does not grow with the input."""
+    total = docs.agg(F.sum(F.octet_length(F.col(text_col).cast("string")) + F.lit(1))).first()[0] or 0
+    return max(LEAST_BUCKETS, -(-total // bucket_bytes))
+
+
+def spark_hash(numbers: np.ndarray) -> np.ndarray:
+    """hash() of bigints: 32-bit Murmur3 with seed 42, by which Spark deals rows to a table's buckets."""
+    x = numbers.astype(np.uint64)
+    h = np.full(len(x), 42, np.uint32)
+    u = np.uint32
+    for half in (x & np.uint64(0xFFFFFFFF), x >> np.uint64(32)):
+        k = half.astype(np.uint32) * u(0xCC9E2D51)
+        h ^= ((k << u(15)) | (k >> u(17))) * u(0x1B873593)
+        h = ((h << u(13)) | (h >> u(19))) * u(5) + u(0xE6546B64)
+    h ^= u(8)
+    h = (h ^ (h >> u(16))) * u(0x85EBCA6B)
+    h = (h ^ (h >> u(13))) * u(0xC2B2AE35)
+    return (h ^ (h >> u(16))).view(np.int32)
+
+
+def block_numbers(task: int, buckets: int) -> Iterator[int]:
+    """Numbers of a task's blocks that all fall into one bucket, so that the task writes one file for each kind of row."""
+    step = max(64, 4 * buckets)
+    for first in count(0, step):
+        some = (task << 32) + first + np.arange(step)
+        yield from some[spark_hash(some) % buckets == task % buckets].tolist()

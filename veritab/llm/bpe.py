@@ -30,18 +30,16 @@ import numpy as np
 import pyarrow as pa
 import regex
 import tiktoken
-import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veritab.llm import shared
-from veritab.llm.blocks import release
+from veritab.llm.blocks import BLOCK_BYTES, BUCKET_BYTES, MOST_TABLE_BUCKETS, Numbered, block_numbers, bucket_count, pack, pack_words, release, runs, unpack, unpack_words
 
-BLOCK_BYTES = 8 << 20
-BLOCKS = "kind string, block bigint, bucket int, payload binary, word_buckets binary, doc_ids array<bigint>, lengths array<int>"
+BLOCKS = "kind string, block bigint, bucket int, payload binary, word_buckets binary, doc_ids array<bigint>, lengths array<int>, carried array<array<string>>"
 ANSWERS = "block bigint, bucket int, payload binary"
-ENCODED = "doc_id bigint, ids array<int>"
+ENCODED = "doc_id bigint, ids array<int>, carried array<string>"
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -78,45 +76,15 @@ def splitter(pattern: str):
     return split
 
 
-def _planes(numbers: np.ndarray) -> bytes:
-    """Unsigned 32-bit numbers, compressed byte plane by byte plane."""
-    return zstandard.compress(np.ascontiguousarray(numbers.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes(), 3)
-
-
-def _numbers(payload: bytes) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(zstandard.decompress(payload), np.uint8).reshape(4, -1).T).view("<u4").ravel()
-
-
-def _pack_words(words: list[bytes]) -> bytes:
-    head = np.array([len(words), *map(len, words)], "<u4").tobytes()
-    return zstandard.compress(head + b"".join(words), 3)
-
-
-def _unpack_words(payload: bytes) -> list[bytes]:
-    raw = zstandard.decompress(payload)
-    n = int(np.frombuffer(raw, "<u4", 1)[0])
-    ends = (4 * (n + 1) + np.cumsum(np.frombuffer(raw, "<u4", n, 4), dtype=np.int64)).tolist()
-    starts = [4 * (n + 1), *ends[:-1]]
-    return [raw[a:b] for a, b in zip(starts, ends, strict=True)]
-
-
-class _Numbered(dict):
-    """Numbers keys in the order of their first use."""
-
-    def __missing__(self, key):
-        self[key] = n = len(self)
-        return n
-
-
 def _split_blocks(pattern: str, buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        split, task, count = splitter(pattern), TaskContext.get().partitionId(), 0
+        split, numbers = splitter(pattern), block_numbers(TaskContext.get().partitionId(), min(buckets, MOST_TABLE_BUCKETS))
         schema = pa.schema([
             ("kind", pa.string()), ("block", pa.int64()), ("bucket", pa.int32()), ("payload", pa.binary()),
-            ("word_buckets", pa.binary()), ("doc_ids", pa.list_(pa.int64())), ("lengths", pa.list_(pa.int32())),
+            ("word_buckets", pa.binary()), ("doc_ids", pa.list_(pa.int64())), ("lengths", pa.list_(pa.int32())), ("carried", pa.list_(pa.list_(pa.string()))),
         ])
 
-        def block(local: dict, seqs: list, doc_ids: list) -> pa.RecordBatch:
+        def block(local: dict, seqs: list, doc_ids: list, carried: list) -> pa.RecordBatch:
             words = list(local)
             seq = np.concatenate(seqs) if seqs else np.zeros(0, np.int32)
             order = np.argsort(-np.bincount(seq, minlength=len(words)), kind="stable")  # frequent words get small numbers
@@ -125,27 +93,27 @@ def _split_blocks(pattern: str, buckets: int):
             encoded = [words[i].encode() for i in order.tolist()]
             of = np.fromiter((zlib.crc32(w) % buckets for w in encoded), np.int64, len(encoded))
             grouped = np.argsort(of, kind="stable")
-            bounds = np.flatnonzero(np.diff(of[grouped], prepend=-1, append=-1)).tolist() if len(of) else []
-            number = (task << 32) + count
-            rows = [("doc", number, -1, _planes(rank[seq]), zstandard.compress(of.astype("<u4").tobytes(), 3), doc_ids, [len(s) for s in seqs])]
-            for a, b in zip(bounds, bounds[1:], strict=False):
+            number = next(numbers)
+            rows = [("doc", number, -1, pack(rank[seq], 4), pack(of, 4), doc_ids, [len(s) for s in seqs], carried)]
+            for a, b in runs(of[grouped]):
                 part = grouped[a:b].tolist()
-                rows.append(("word", number, int(of[part[0]]), _pack_words([encoded[i] for i in part]), None, None, None))
+                rows.append(("word", number, int(of[part[0]]), pack_words([encoded[i] for i in part]), None, None, None, None))
             return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
-        local, seqs, doc_ids, held = _Numbered(), [], [], 0
+        local, seqs, doc_ids, carried, held = Numbered(), [], [], [], 0
         for batch in batches:
-            for doc_id, text in zip(batch.column(0), batch.column(1), strict=True):
+            for doc_id, text, more in zip(*(batch.column(k) for k in range(3)), strict=True):
                 words = split(text.as_py() or "")
                 seqs.append(np.fromiter(map(local.__getitem__, words), np.int32, len(words)))
                 doc_ids.append(doc_id.as_py())
+                carried.append(more.as_py())
                 held += 8 + len(text.as_py() or "")
                 if held >= BLOCK_BYTES:
-                    yield block(local, seqs, doc_ids)
-                    local, seqs, doc_ids, held, count = _Numbered(), [], [], 0, count + 1
+                    yield block(local, seqs, doc_ids, carried)
+                    local, seqs, doc_ids, carried, held = Numbered(), [], [], [], 0
         if seqs:
-            yield block(local, seqs, doc_ids)
-        del local, seqs, doc_ids
+            yield block(local, seqs, doc_ids, carried)
+        del local, seqs, doc_ids, carried
         release()
 
     return run
@@ -160,12 +128,12 @@ def _encode_buckets(ranks, pattern: str):
                 if bucket.as_py() != current:
                     known, current = {}, bucket.as_py()
                 sizes, ids = [], []
-                for word in _unpack_words(payload.as_py()):
+                for word in unpack_words(payload.as_py()):
                     if (found := known.get(word)) is None:
                         found = known[word] = piece(word)
                     sizes.append(len(found))
                     ids += found
-                answer = _planes(np.array([len(sizes), *sizes, *ids], "<u4"))
+                answer = pack(np.array([len(sizes), *sizes, *ids], "<u4"), 4)
                 yield pa.RecordBatch.from_pydict({"block": [block.as_py()], "bucket": pa.array([current], pa.int32()), "payload": [answer]})
         del known, encoder, piece
         release()
@@ -185,11 +153,11 @@ def _reassemble(texts: pa.Table, answered: pa.Table) -> pa.Table:
     release()  # what the block before left
     (doc,) = texts.to_pylist()
     answers = sorted(answered.to_pylist(), key=lambda r: r["bucket"])
-    seq = _numbers(doc["payload"]).astype(np.int64)
-    of = np.frombuffer(zstandard.decompress(doc["word_buckets"]), "<u4")
+    seq = unpack(doc["payload"]).astype(np.int64)
+    of = unpack(doc["word_buckets"])
     sizes, ids = [], []
     for row in answers:
-        got = _numbers(row["payload"])
+        got = unpack(row["payload"])
         n = int(got[0])
         sizes.append(got[1 : n + 1])
         ids.append(got[n + 1 :])
@@ -205,25 +173,25 @@ def _reassemble(texts: pa.Table, answered: pa.Table) -> pa.Table:
     out = _gather(start[seq], each, flat).astype(np.int32)
     lengths = np.array(doc["lengths"], np.int64)
     ends = np.concatenate(([0], np.cumsum(each)))[np.concatenate(([0], np.cumsum(lengths)))]
-    return pa.table({"doc_id": pa.array(doc["doc_ids"], pa.int64()), "ids": pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(out))})
+    return pa.table({"doc_id": pa.array(doc["doc_ids"], pa.int64()), "ids": pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(out)), "carried": pa.array(doc["carried"], pa.list_(pa.string()))})
 
 
-def encode(docs: DataFrame, vocabulary: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id and ids of every text, by the ranks in the file `vocabulary`."""
+def encode(docs: DataFrame, vocabulary: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", bucket_bytes: int = BUCKET_BYTES, carry: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id and ids of every text, by the ranks in the file `vocabulary`; `carried` has the row's columns `carry` as strings."""
     spark = docs.sparkSession
     shared.bound_batches(spark)
-    buckets = shared.shuffle_partitions(spark)
+    buckets = bucket_count(docs, text_col, bucket_bytes)
     ranks = spark.sparkContext.broadcast(load_ranks(vocabulary))  # of the vocabulary's size, whatever the input's
     blocks = shared.materialize_bucketed(
-        docs.select(F.col(id_col).cast("bigint"), F.col(text_col).cast("string")).mapInArrow(_split_blocks(pattern, buckets), BLOCKS),
-        "bpe-blocks", "kind", "block", buckets,
+        docs.select(F.col(id_col).cast("bigint"), F.col(text_col).cast("string"), F.array(*[F.col(c).cast("string") for c in carry]).cast("array<string>")).mapInArrow(_split_blocks(pattern, buckets), BLOCKS),
+        "bpe-blocks", "kind", "block", min(buckets, MOST_TABLE_BUCKETS),
     )
     answers = (
         blocks.filter("kind = 'word'").select("block", "bucket", "payload")
         .repartition(buckets, "bucket").sortWithinPartitions("bucket")
         .mapInArrow(_encode_buckets(ranks, pattern), ANSWERS)
     )
-    texts = blocks.filter("kind = 'doc'").select("block", "payload", "word_buckets", "doc_ids", "lengths")  # bucketed: not shuffled
+    texts = blocks.filter("kind = 'doc'").select("block", "payload", "word_buckets", "doc_ids", "lengths", "carried")  # bucketed: not shuffled
     return texts.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_reassemble, ENCODED)
 
 

@@ -10,7 +10,9 @@ alpha times the unknown word; after a history that was never seen, the unigram.
 
 A block is a bounded run of texts. Words travel once for each block that has
 them, as lists cut into buckets by hash; a bucket numbers and counts its words
-and answers each block. Bigrams do the same: distinct in a block, cut into
+and answers each block. Buckets are as many as the counted bytes ask for, so
+what one holds does not grow with the input (but for a list a block of the words
+that all blocks have). Bigrams do the same: distinct in a block, cut into
 buckets by their history. Histories with more than 1 / (4 * buckets) of all
 tokens, of which there are fewer than 4 * buckets, are cut by the whole bigram
 instead; their sums are added up from the buckets and are the only ones sent
@@ -38,12 +40,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veritab.llm import shared
-from veritab.llm.blocks import Numbered, pack, pack_floats, pack_sorted, pack_words, release, runs, unpack, unpack_floats, unpack_sorted, unpack_words
+from veritab.llm.blocks import (
+    BLOCK_BYTES, BUCKET_BYTES, MOST_TABLE_BUCKETS, Numbered, block_numbers, bucket_count, pack, pack_floats, pack_pairs, pack_words, release, runs, unpack, unpack_floats,
+    unpack_pairs, unpack_words,
+)
 
 K = 5
-BLOCK_BYTES = 8 << 20
 END = b"\n"  # no word holds a blank
-START = 2**32 - 1
+START = 2**63 - 1  # above the number of any word
 STATS = K + 2  # of a history: n_1 .. n_K, the sum of larger counts, the sum of unigram probabilities
 ROWS = "kind string, block bigint, bucket int, hot boolean, payload binary, counts binary, extra binary, stats array<double>"
 BLOCKS = ROWS + ", doc_ids array<bigint>, lengths array<int>, train array<boolean>"
@@ -105,7 +109,7 @@ def tokens(text: str | None) -> list[bytes]:
 
 def _split(buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        task, count = TaskContext.get().partitionId(), 0
+        numbers = block_numbers(TaskContext.get().partitionId(), min(buckets, MOST_TABLE_BUCKETS))
 
         def block(local: dict, seqs: list, ids: list, train: list) -> pa.RecordBatch:
             words, seq = list(local), np.concatenate(seqs)
@@ -118,7 +122,7 @@ def _split(buckets: int):
             words = [words[i] for i in order.tolist()]
             of = np.fromiter((zlib.crc32(w) % buckets for w in words), np.int64, len(words))
             grouped = np.argsort(of, kind="stable")
-            number = (task << 32) + count
+            number = next(numbers)
             rows = [{"kind": "doc", "block": number, "bucket": -1, "hot": False, "payload": pack(seq, 4), "extra": pack(of, 4), "doc_ids": ids, "lengths": lengths, "train": train}]
             for a, b in runs(of[grouped]):
                 part = grouped[a:b]
@@ -135,7 +139,7 @@ def _split(buckets: int):
                 held += 16 + len(text.as_py() or "")
                 if held >= BLOCK_BYTES:
                     yield block(local, seqs, ids, train)
-                    local, seqs, ids, train, held, count = Numbered(), [], [], [], 0, count + 1
+                    local, seqs, ids, train, held = Numbered(), [], [], [], 0
         if seqs:
             yield block(local, seqs, ids, train)
         del local, seqs, ids, train
@@ -173,10 +177,8 @@ def _count_words(buckets: int):
             total = np.zeros(len(number), np.uint64)
             for row, at in zip(rows, own, strict=True):
                 total[at] += unpack(row["counts"])
-            if len(number) * buckets >= START:
-                raise ValueError("more distinct words than numbers")
             for row, at in zip(rows, own, strict=True):
-                yield _batch([{"kind": "answer", "block": row["block"], "bucket": bucket, "hot": False, "payload": pack(at * buckets + bucket, 4), "counts": pack(total[at])}])
+                yield _batch([{"kind": "answer", "block": row["block"], "bucket": bucket, "hot": False, "payload": pack(at * buckets + bucket), "counts": pack(total[at])}])
             yield _batch([
                 {"kind": "sums", "bucket": bucket, "stats": [float(total.sum()), float((total > 0).sum()), *_of_counts(total)]},
                 {"kind": "unigrams", "bucket": bucket, "payload": pack_words(list(number)), "counts": pack(total)},
@@ -201,17 +203,19 @@ class _Block:
         self.lengths = np.array(self.doc["lengths"], np.int64)
         self.starts = np.cumsum(self.lengths) - self.lengths
         self.count = counts[seq]  # of each token
-        word = ids[seq]
-        before, self.before = np.empty(len(seq), np.uint64), np.empty(len(seq), np.uint64)
-        before[1:], self.before[1:] = word[:-1], self.count[:-1]
-        before[self.starts], self.before[self.starts] = START, START
-        self.keys, first, self.which = np.unique((before << np.uint64(32)) | word, return_index=True, return_inverse=True)
-        self.word_count, self.history_count = self.count[first], self.before[first]
-        self.hot = (self.history_count >= hot_from) | (self.keys >> np.uint64(32) == START)
-        cut = np.where(self.hot, _mix(self.keys), _mix(self.keys >> np.uint64(32)))
+        # pairs as numbers of the block's own words, of which there are far fewer than 2**32; the last stands for the start
+        before = np.empty(len(seq), np.int64)
+        before[1:], before[self.starts] = seq[:-1], len(of)
+        pairs, self.which = np.unique((before << 32) | seq, return_inverse=True)
+        history, word = pairs >> 32, pairs & 0xFFFFFFFF
+        self.history, self.word = np.append(ids, np.uint64(START))[history], ids[word]
+        self.history_count, self.word_count = np.append(counts, np.uint64(0))[history], counts[word]
+        self.first = history == len(of)
+        self.hot = (self.history_count >= hot_from) | self.first
+        cut = np.where(self.hot, _mix(_mix(self.history) + self.word), _mix(self.history))
         label = (cut % np.uint64(buckets)).astype(np.int64) * 2 + self.hot
-        self.order = np.argsort(label, kind="stable")
-        self.parts = [(int(label[self.order[a]]) // 2, bool(label[self.order[a]] % 2), self.order[a:b]) for a, b in runs(label[self.order])]
+        order = np.argsort(label, kind="stable")
+        self.parts = [(int(label[order[a]]) // 2, bool(label[order[a]] % 2), order[a:b]) for a, b in runs(label[order])]
 
 
 def _emit_bigrams(buckets: int, hot_from: float):
@@ -219,9 +223,9 @@ def _emit_bigrams(buckets: int, hot_from: float):
         release()  # what the block before left
         block = _Block(texts.to_pylist() + answered.to_pylist(), buckets, hot_from)
         learns = np.repeat(np.array(block.doc["train"], np.float64), block.lengths)
-        learnt = np.bincount(block.which, learns, minlength=len(block.keys)).astype(np.uint64)
+        learnt = np.bincount(block.which, learns, minlength=len(block.word)).astype(np.uint64)
         rows = [
-            {"kind": "bigram", "block": block.doc["block"], "bucket": bucket, "hot": hot, "payload": pack_sorted(block.keys[at]), "counts": pack(learnt[at]), "extra": pack(block.word_count[at])}
+            {"kind": "bigram", "block": block.doc["block"], "bucket": bucket, "hot": hot, "payload": pack_pairs(block.history[at], block.word[at]), "counts": pack(learnt[at]), "extra": pack(block.word_count[at])}
             for bucket, hot, at in block.parts
         ]
         return pa.Table.from_batches([_batch(rows)])
@@ -229,15 +233,14 @@ def _emit_bigrams(buckets: int, hot_from: float):
     return run
 
 
-def _history_stats(keys: np.ndarray, counts: np.ndarray, lower: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The distinct histories of ascending keys, and STATS numbers of each, over bigrams that were seen."""
-    histories, at = np.unique(keys >> np.uint64(32), return_inverse=True)
-    stats = np.zeros((len(histories), STATS))
+def _history_stats(history: np.ndarray, n: int, counts: np.ndarray, lower: np.ndarray) -> np.ndarray:
+    """STATS numbers of each of n histories, over bigrams that were seen."""
+    stats = np.zeros((n, STATS))
     for r in range(1, K + 1):
-        stats[:, r - 1] = np.bincount(at, counts == r, minlength=len(histories))
-    stats[:, K] = np.bincount(at, np.where(counts > K, counts, 0).astype(np.float64), minlength=len(histories))
-    stats[:, K + 1] = np.bincount(at, np.where(counts > 0, lower, 0.0), minlength=len(histories))
-    return histories, stats
+        stats[:, r - 1] = np.bincount(history, counts == r, minlength=n)
+    stats[:, K] = np.bincount(history, np.where(counts > K, counts, 0).astype(np.float64), minlength=n)
+    stats[:, K + 1] = np.bincount(history, np.where(counts > 0, lower, 0.0), minlength=n)
+    return stats
 
 
 def _count_bigrams(unigrams: Unigrams):
@@ -249,28 +252,29 @@ def _count_bigrams(unigrams: Unigrams):
                 rows = [r for r in bucket_rows if r["hot"] == hot]
                 if not rows:
                     continue
-                each = [unpack_sorted(r["payload"]) for r in rows]
-                keys, at = np.unique(np.concatenate(each), return_inverse=True)
-                total = np.bincount(at, np.concatenate([unpack(r["counts"]) for r in rows]).astype(np.float64), minlength=len(keys)).astype(np.uint64)
-                word_count = np.empty(len(keys), np.uint64)
+                each = [unpack_pairs(r["payload"]) for r in rows]
+                histories, left = np.unique(np.concatenate([h for h, _ in each]), return_inverse=True)
+                words, right = np.unique(np.concatenate([w for _, w in each]), return_inverse=True)
+                pairs, at = np.unique((left << 32) | right, return_inverse=True)  # a bucket has far fewer than 2**32 of either
+                total = np.bincount(at, np.concatenate([unpack(r["counts"]) for r in rows]).astype(np.float64), minlength=len(pairs)).astype(np.uint64)
+                word_count = np.empty(len(pairs), np.uint64)
                 word_count[at] = np.concatenate([unpack(r["extra"]) for r in rows])
-                histories, stats = _history_stats(keys, total, unigrams(word_count))
+                stats = _history_stats(pairs >> 32, len(histories), total, unigrams(word_count))
                 bare = stats[:, :K].sum(axis=1) == 0
                 sums += _of_counts(total)
                 end = 0
-                for row, own in zip(rows, each, strict=True):
-                    here = at[end : end + len(own)]
+                for row, (own, _) in zip(rows, each, strict=True):
+                    here = slice(end, end + len(own))
                     end += len(own)
-                    counts, extra = total[here], b""
+                    counts, extra = total[at[here]], b""
                     if not hot:
-                        needed = np.unique(own[counts == 0] >> np.uint64(32))
-                        extra = pack_floats(stats[np.searchsorted(histories, needed)])
-                    guard = np.packbits(bare[np.searchsorted(histories, own >> np.uint64(32))])
+                        extra = pack_floats(stats[np.unique(left[here][counts == 0])])
+                    guard = np.packbits(bare[left[here]])
                     yield _batch([{"kind": "answer", "block": row["block"], "bucket": bucket, "hot": hot, "payload": guard.tobytes(), "counts": pack(counts), "extra": extra}])
                 if hot:
                     yield _batch([{"kind": "hot", "block": int(h), "bucket": bucket, "stats": s.tolist()} for h, s in zip(histories, stats, strict=True)])
-                learnt = total > 0
-                yield _batch([{"kind": "bigrams", "bucket": bucket, "hot": hot, "payload": pack_sorted(keys[learnt]), "counts": pack(total[learnt])}])
+                learnt = pairs[total > 0]
+                yield _batch([{"kind": "bigrams", "bucket": bucket, "hot": hot, "payload": pack_pairs(histories[learnt >> 32], words[learnt & 0xFFFFFFFF]), "counts": pack(total[total > 0])}])
             yield _batch([{"kind": "sums", "bucket": bucket, "stats": sums.tolist()}])
             release()
 
@@ -290,16 +294,16 @@ def _score(buckets: int, hot_from: float, unigrams: Unigrams, d: np.ndarray, hot
         rows = texts.to_pylist() + answered.to_pylist()
         block = _Block(rows, buckets, hot_from)
         answers = {(r["bucket"], r["hot"]): r for r in rows if r["kind"] == "answer" and r["extra"] is not None}
-        count, bare = np.zeros(len(block.keys), np.int64), np.zeros(len(block.keys), bool)
-        history_count = np.where(block.keys >> np.uint64(32) == START, train_docs, block.history_count).astype(np.float64)
-        alpha = np.ones(len(block.keys))
+        count, bare = np.zeros(len(block.word), np.int64), np.zeros(len(block.word), bool)
+        history_count = np.where(block.first, train_docs, block.history_count).astype(np.float64)
+        alpha = np.ones(len(block.word))
         hot_ids = np.array(sorted(hot), np.uint64)
         hot_stats = np.array([hot[int(h)] for h in hot_ids]).reshape(-1, STATS)
         for bucket, is_hot, at in block.parts:
             row = answers[bucket, is_hot]
             count[at] = unpack(row["counts"]).astype(np.int64)
             bare[at] = np.unpackbits(np.frombuffer(row["payload"], np.uint8), count=len(at)).astype(bool)
-            history = block.keys[at] >> np.uint64(32)
+            history = block.history[at]
             if is_hot:
                 stats, of = hot_stats, np.searchsorted(hot_ids, history)
                 bare[at] = stats[of, :K].sum(axis=1) == 0
@@ -327,12 +331,12 @@ def _score(buckets: int, hot_from: float, unigrams: Unigrams, d: np.ndarray, hot
     return run
 
 
-def katz_scores(docs: DataFrame, is_train: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def katz_scores(docs: DataFrame, is_train: Column, id_col: str = "doc_id", text_col: str = "text", bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
     """doc_id, n_tokens, n_known, base_score, score, train_tokens of every text; learns from rows where is_train."""
     shared.bound_batches(docs.sparkSession)
-    buckets = shared.shuffle_partitions(docs.sparkSession)
+    buckets = bucket_count(docs, text_col, bucket_bytes)
     rows = docs.select(F.col(id_col).cast("bigint"), F.col(text_col).cast("string"), F.coalesce(is_train & F.col(id_col).isNotNull(), F.lit(False)))
-    blocks = shared.materialize_bucketed(rows.mapInArrow(_split(buckets), BLOCKS), "katz-blocks", "kind", "block", buckets)
+    blocks = shared.materialize_bucketed(rows.mapInArrow(_split(buckets), BLOCKS), "katz-blocks", "kind", "block", min(buckets, MOST_TABLE_BUCKETS))
     texts = blocks.filter("kind = 'doc'")  # bucketed: not shuffled
     sorted_ = lambda df: df.repartition(buckets, "bucket").sortWithinPartitions("bucket")
     names = [x.split()[0] for x in ROWS.split(", ")]
