@@ -1,9 +1,12 @@
+import random
 from collections import Counter, defaultdict
 
+import public_tokenizers
+import tiktoken
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from veritab.llm import packing
+from veritab.llm import bpe, packing
 
 
 def brute(sizes, sources, clusters, capacity, quota):
@@ -60,9 +63,29 @@ def test_nothing_is_lost_and_no_conflict(spark):
 
 def test_empty_and_texts(spark):
     assert packing.pack(spark.createDataFrame([], SCHEMA)).count() == 0
-    docs = spark.createDataFrame([(1, None, None, 1), (2, "", "a", 1), (3, "é" * 40_000, "a", 1)], "doc_id bigint, text string, source string, size int")
-    got = packing.pack(packing.document_rows(docs)).collect()
+    docs = spark.createDataFrame([(1, None, None, 1), (2, "", "a", 1), (3, "é" * 40_000, "a", 1), (4, "two words", "b", 1), (4, "two words", "b", 1)], "doc_id bigint, text string, source string, size int")
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    encoder = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=bpe.load_ranks(path), special_tokens={})
+    got = packing.pack(packing.token_rows(docs, path, public_tokenizers.PATTERN)).collect()
     total = Counter()
     for r in got:
         total[r["doc_id"]] += r["length"]
-    assert total == {1: 1, 2: 1, 3: 40_001}
+    assert total == {1: 1, 2: 1, 3: len(encoder.encode_ordinary("é" * 40_000)) + 1, 4: 6}
+    assert len({r["bin_id"] for r in got if r["doc_id"] == 4}) == 2  # copies are packed apart
+    assert packing.pack(packing.token_rows(docs.limit(0), path, public_tokenizers.PATTERN)).count() == 0
+
+
+def test_pack_equals_brute_force_in_one_group(spark):
+    rng = random.Random(7)
+    rows = [(i, rng.randint(1, 400), f"s{rng.randrange(3)}", f"c{rng.randrange(30)}", "x", 1) for i in range(400)]
+    order = sorted(rows, key=lambda r: (-r[1], r[0]))
+    copies = Counter(r[3] for r in rows)
+    names = {}
+    clusters = [names.setdefault(r[3], len(names)) if copies[r[3]] > 1 else -1 for r in order]
+    bins = brute([r[1] for r in order], [int(r[2][1:]) for r in order], clusters, 1000, 2)
+    want = {r[0]: b for r, b in zip(order, bins)}
+    shuffled = rows[:]
+    rng.shuffle(shuffled)
+    for given_ in (rows, shuffled):
+        got = packing.pack(spark.createDataFrame(given_, SCHEMA).repartition(4), capacity=1000, source_quota=2, group_rows=10_000).collect()
+        assert {r["doc_id"]: r["bin_id"] & (1 << 24) - 1 for r in got} == want

@@ -1,9 +1,12 @@
+import public_tokenizers
 import pytest
+import tiktoken
 from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tests.llm.test_near_dedup import brute
-from veritab.llm import near_dedup, packing, toxicity
+from veritab.llm import bpe, near_dedup, packing, shared, toxicity
+from veritab.sources import tables
 
 
 @pytest.fixture(scope="module")
@@ -39,7 +42,9 @@ def test_stages(spark, folder):
             want = {i for i, v in brute([(i, r["text"]) for i, r in kept.items()]).items() if v[2]}
         assert ids == want, name
         kept = {i: kept[i] for i in ids}
-    total = sum(len(r["text"] or "") + 1 for r in kept.values())
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    encoder = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=bpe.load_ranks(path), special_tokens={})
+    total = sum(len(encoder.encode_ordinary(r["text"] or "")) + 1 for r in kept.values())
     packed = corpus_pipeline.run(spark, folder)
     assert packed.agg(F.sum("length")).first()[0] == total
     assert {r["doc_id"] for r in packed.select("doc_id").distinct().collect()} == set(kept)
@@ -58,3 +63,26 @@ def test_near_stage_links_from_four_fifths(spark):
     docs = spark.createDataFrame(rows, "doc_id bigint, text string")
     assert {r["doc_id"] for r in corpus_pipeline.near_stage(spark, docs, "").collect()} == {1, 3, 4}
     assert (near_dedup.depths(85), near_dedup.agreeing_slots(85)) == ((4, 6, 8), 90)
+
+
+def test_stages_judge_rows_not_ids(spark):
+    text = lambda mark: " ".join(f"{mark}{k}" for k in range(40))
+    rows = [(1, text("u")), (1, text("x")), (5, text("x")), (7, text("y")), (7, text("y")), (None, text("z")), (None, text("z") + " more"), (9, None), (9, ""), (5, text("y") + " more")]
+    docs = spark.createDataFrame([(i, t, f"clash{k}", k, None) for k, (i, t) in enumerate(rows)], "doc_id bigint, text string, digest string, kept int, node string")
+    once = corpus_pipeline.exact_stage(spark, docs, "")
+    again = corpus_pipeline.exact_stage(spark, docs, "")
+    show = lambda df: sorted((r["doc_id"] or -1, (r["text"] or "")[:2]) for r in df.collect())
+    assert show(once) == show(again) == [(-1, "z0"), (-1, "z0"), (1, "u0"), (5, "x0"), (5, "y0"), (7, "y0"), (9, "")]
+    near = corpus_pipeline.near_stage(spark, once, "")
+    assert near.columns == docs.columns and show(near) == [(-1, "z0"), (1, "u0"), (5, "x0"), (5, "y0"), (9, "")]
+    packed = corpus_pipeline.packing_stage(spark, near.withColumn("source", F.lit(None).cast("string")), "")
+    assert packed.select("doc_id").distinct().count() == 4
+
+
+def test_nothing_is_left_behind(spark, folder):
+    before = shared.mark()
+    corpus_pipeline.run(spark, folder).count()
+    left = [name for _, name in tables._LEFT[before:]]
+    assert len(left) <= 8  # the last stage's input and what its plan still reads
+    shared.sweep(spark, before)
+    assert shared.mark() == before

@@ -12,10 +12,15 @@ compatible: the tightest compatible bin. If none is, a bin is opened.
 A row longer than a bin is cut into pieces of a bin's capacity and a rest, so
 nothing is dropped; its pieces belong to one cluster and so to different bins.
 
+Sizes are token counts of the byte-level BPE operator, so a piece is a token
+range of its row and a bin is a training sequence.
+
 Edge cases: a null or empty text has size 1 (its separator); a null source is
 a source of its own; a null cluster conflicts with nothing; a null id is dealt
-by its size; repeated rows are packed apart if they share a cluster; ties go to
-the older bin; an empty table gives no rows; further columns are ignored.
+by its size; repeated rows are packed apart if they share a cluster; rows of
+equal size are placed by id, cluster and source, so the result does not depend
+on the order of arrival; ties go to the older bin; an empty table gives no rows;
+further columns are ignored.
 """
 
 from __future__ import annotations
@@ -27,6 +32,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from veritab.llm import bpe, shared
+
 SCHEMA = "doc_id bigint, piece int, start bigint, length bigint, bin_id bigint, bin_offset bigint, bin_used bigint"
 
 
@@ -65,7 +72,7 @@ def best_fit(sizes: list[int], sources: list[int], clusters: list[int], capacity
     return out
 
 
-def pack(rows: DataFrame, capacity: int = 16384, source_quota: int = 4, group_rows: int = 2048) -> DataFrame:
+def pack(rows: DataFrame, capacity: int = 4096, source_quota: int = 4, group_rows: int = 2048) -> DataFrame:
     """Pack rows of (doc_id, size, source, cluster) into bins of `capacity`.
 
     Returns one row for each piece: doc_id, piece, start, length (the piece in
@@ -75,7 +82,7 @@ def pack(rows: DataFrame, capacity: int = 16384, source_quota: int = 4, group_ro
 
     def place(pdf: pd.DataFrame) -> pd.DataFrame:
         group = int(pdf["grp"].iloc[0])
-        pdf = pdf.sort_values(["size", "no_id", "doc_id"], ascending=[False, True, True], kind="stable")
+        pdf = pdf.sort_values(["size", "no_id", "doc_id", "cluster", "source"], ascending=[False, True, True, True, True], kind="stable")
         pieces = []
         copies = Counter(pdf["cluster"].dropna())
         names: dict = {}
@@ -107,9 +114,9 @@ def pack(rows: DataFrame, capacity: int = 16384, source_quota: int = 4, group_ro
     return keyed.groupBy("grp").applyInPandas(place, SCHEMA)
 
 
-def document_rows(docs: DataFrame) -> DataFrame:
-    """doc_id, size (characters and a separator), source, cluster (digest of the text)."""
-    text = F.coalesce(F.col("text"), F.lit(""))
-    return docs.select(
-        "doc_id", (F.char_length(text) + F.lit(1)).alias("size"), "source", F.sha2(text.cast("binary"), 256).alias("cluster")
-    )
+def token_rows(docs: DataFrame, vocabulary: str, pattern: str) -> DataFrame:
+    """doc_id, size (tokens and a separator), source, cluster (digest of the text), as a table: pack() reads it twice."""
+    marked = docs.withColumn("__cluster", F.sha2(F.coalesce(F.col("text"), F.lit("")).cast("binary"), 256))
+    encoded = bpe.encode(marked, vocabulary, pattern, carry=("source", "__cluster"))
+    sizes = encoded.select("doc_id", (F.size("ids") + F.lit(1)).alias("size"), F.col("carried")[0].alias("source"), F.col("carried")[1].alias("cluster"))
+    return shared.materialize(sizes, "packing-rows")

@@ -70,7 +70,8 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(packing.document_rows(_table(spark, sf_dir, "documents")))
+    vocabulary = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    return packing.pack(packing.token_rows(_table(spark, sf_dir, "documents"), vocabulary, public_tokenizers.PATTERN))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
