@@ -2,7 +2,7 @@ from pyspark.sql import functions as F
 
 from veritab.operators import associate, dataset, image
 from veritab.plans import evidence as E
-from veritab.plans import job
+from veritab.plans import api, job
 from veritab.sources import engines
 
 SF = "/root/testdata/sf0.001"
@@ -58,3 +58,15 @@ def test_job_from_images(spark, tmp_path):
     assert text.startswith("5 records") and "image errors: 2" in text
     got = {r["ttb_id"]: r for r in spark.read.csv(f"{tmp_path}/out/detail", header=True).collect()}
     assert got["0"]["brand_name_status"] == "found" and got["0"]["ocr_angle_90"] == "red 5% 60 11" and got["2"]["ocr_text"] is None and got["3"]["error"] == "image_not_found"
+
+
+def test_calls_of_the_api(spark):
+    engines.register("paddleocr", lambda: lambda img, mode, psm: (f"red {'750 ml' if psm == 11 else ''}", []))
+    pixels = spark.createDataFrame([(k, 40, 60, 3, bytes(7200)) for k in range(2)], "label_id int, height int, width int, nChannels int, data binary")
+    apps = spark.createDataFrame([(0, "Red", None, "750 ml"), (9, "Red", None, None)], "label_id int, brand_name string, alcohol_content string, net_contents string")
+    try:
+        assert {r["label_id"]: r["text"] for r in api.read_images(pixels, "paddleocr").collect()} == {0: "red ", 1: "red "}
+        (row,) = api.evaluate_images(apps, pixels, "paddleocr").collect()
+    finally:
+        engines._REGISTRY.pop("paddleocr")
+    assert row["label_id"] == 0 and row["entry"]["summary"]["net_contents"] == "match" and row["entry"]["summary"]["gov_warning"] == "not_found"

@@ -47,6 +47,7 @@ def test_page_normalizers_and_cleanups(spark):
     rows = spark.createDataFrame([("image/PNG; q=1", "u"), ("text/html", "http://h/a.GIF?x=.b"), (None, "http://h/a")], "k string, u string")
     assert [r[0] for r in rows.select(T.attachment_extension(F.col("k"), F.col("u"))).collect()] == [".png", ".gif", ".jpg"]
     assert column(spark, ["What code is in the image", "what code is in the image", "ARE YOU A HUMAN", None], T.is_captcha) == [True, False, True, False]
+    assert column(spark, ["image/png", "image/webp", "image/gif", "IMAGE/PNG", None], T.is_upload_type) == [True, True, False, False, False]
     assert column(spark, ["a<b & c>"], T.escape_html) == ["a&lt;b &amp; c&gt;"]
 
 

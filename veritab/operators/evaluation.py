@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from veritab.functions import constants as C
 from veritab.operators.associate import long_fields
+from veritab.sources import files
 
 STATUSES = ("found", "partial", "missing")
 
@@ -39,10 +40,6 @@ def timing(results: DataFrame, columns: tuple[str, ...] = ("total_ms", "ocr_ms")
     return results.agg(F.count(F.lit(1)).alias("total_records"), *out)
 
 
-def throughput(records: Column, seconds: Column) -> Column:
-    return F.when(seconds > 0, F.bround(records / seconds, 3)).otherwise(0.0)
-
-
 def by_variant(evaluated: DataFrame, variant: str = "variant_type", columns: tuple[str, ...] = ("total_ms", "ocr_ms")) -> DataFrame:
     """Count, rates of each field and of the warning, and mean times, by variant; an empty variant is 'unknown'."""
     total = F.count(F.lit(1))
@@ -114,7 +111,7 @@ def detail(results: DataFrame) -> DataFrame:
 
 
 def write_detail(results: DataFrame, path: str) -> None:
-    detail(results).write.mode("overwrite").option("escape", '"').csv(path, header=True)
+    files.write_records(detail(results), path)
 
 
 def write_records(results: DataFrame, path: str) -> None:

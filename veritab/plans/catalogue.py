@@ -13,6 +13,7 @@ from veritab.functions import text as T
 from veritab.operators import associate, attempts, dataset, evaluation, html, image, overlap, words
 from veritab.operators.verify import evaluate, flat
 from veritab.plans import evidence as E
+from veritab.plans import interfaces
 from veritab.plans.oracle import ORACLES
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -264,12 +265,11 @@ def merged_metadata(spark, sf_dir):
 
 @query
 def master_with_variants(spark, sf_dir):
-    prior = E.derive(spark, sf_dir, E.PRIOR).select("id", "row_no", "fetch_status", "image_path", "variant_type").withColumn("base_image", F.lit(""))
-    made = dataset.eligible(prior).select("id", "row_no", F.concat(F.lit("images/"), "id", F.lit("_dist.jpg")).alias("image_path"), F.lit("noise_s5").alias("variant_type"), F.col("image_path").alias("base_image"))
-    had = prior.filter(F.coalesce("variant_type", F.lit("original")) != "original").select("id").distinct()
-    new = made.join(had, "id", "left_anti").join(prior.select("row_no", "fetch_status"), "row_no")
-    existing = prior.filter(F.coalesce("variant_type", F.lit("original")) != "original")
-    return dataset.originals(prior).unionByName(existing).unionByName(new).select("id", "row_no", "fetch_status", "image_path", "variant_type", "base_image")
+    columns = ["id", "row_no", "fetch_status", "image_path", "variant_type"]
+    rows = E.derive(spark, sf_dir, E.PRIOR).select(*columns).withColumn("base_image", F.lit(""))
+    last = dataset.last_per_id(rows).drop("first_row")
+    made = dataset.eligible(last).select("id", F.concat(F.lit("images/"), "id", F.lit("_dist.jpg")).alias("image_path"), F.lit("noise_s5").alias("variant_type"), F.col("image_path").alias("base_image"))
+    return dataset.master(last, rows, made).select(*columns, "base_image")
 
 
 @query
@@ -307,12 +307,6 @@ def page_captcha(spark, sf_dir):
     return _table(spark, sf_dir, "pages").select("page_id", T.is_captcha(page).alias("captcha"), F.size(html.attachments(page)).cast("bigint").alias("attachments"))
 
 
-@query
-def page_fields(spark, sf_dir):
-    """Parsed label and data pairs; the tables' pages have none, so the maps are empty. Tested on pages that have."""
-    return html.page_fields(_table(spark, sf_dir, "pages")).select("page_id", F.size("fields").cast("bigint").alias("fields"), F.size("image_urls").cast("bigint").alias("images"))
-
-
 @query
 def stack_layout(spark, sf_dir):
     parts = _table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("record_id"), F.col("o_orderkey").alias("part_no"), (F.col("o_orderkey") % 50 + 100).alias("height"), (F.col("o_orderkey") % 30 + 200).alias("width"))
@@ -327,8 +321,8 @@ def label_quality_by_source(spark, sf_dir):
 
 
 def queries() -> dict[str, Query]:
-    return dict(_QUERIES)
+    return _QUERIES | interfaces.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(ORACLES)
+    return ORACLES | interfaces.ORACLES

@@ -73,12 +73,29 @@ FROM {customer}
 """
 
 
+# Detail pages, and what is to be found on them (the shown columns).
+DETAIL_PAGES = f"""
+SELECT page_id, brand_shown, net_shown, alcohol_shown, fanciful_shown, CASE WHEN page_id % 37 = 0 THEN NULL ELSE
+  '<html><head><title>Detail</title></head><body><table><tr><td><div class="boldlabel">6. BRAND  NAME (Required)</div><div class="data"> '
+  || CASE WHEN page_id % 11 = 0 THEN '' ELSE part_brand || ' &amp; <b>Co</b>' END || ' </div></td><td><div class="label">8a. Net contents</div><div class="data"> </div><div class="data">'
+  || net_shown || '</div></td><td><div class="data">' || alcohol_shown || '</div><p><div class="mylabel">ALCOHOL  CONTENT</div></p></td>'
+  || CASE WHEN page_id % 5 = 0 THEN '<td><div class="label">fanciful name</div><div class="data">' || fanciful_shown || '</div></td>' ELSE '' END
+  || CASE WHEN page_id % 7 = 0 THEN '<td><div class="label">brand name</div><div class="data">Later</div></td>' ELSE '<td><div class="label">EMPTY</div></td>' END || '</tr></table>'
+  || repeat('<img src="/x/publicViewAttachment.do?f=a b">', CAST(page_id % 3 AS INT)) || '<img src="/logo.png">' || CASE WHEN page_id % 13 = 0 THEN '<p>Are you a HUMAN?</p>' ELSE '' END || '</body></html>' END AS html
+FROM (SELECT p_partkey AS page_id, p_brand AS part_brand, {_QUANTITY} || {_UNIT} AS net_shown, {_ALCOHOL} || '%' AS alcohol_shown,
+  CASE WHEN p_partkey % 5 = 0 THEN p_name ELSE '' END AS fanciful_shown,
+  CASE WHEN p_partkey % 7 = 0 THEN 'Later' WHEN p_partkey % 11 = 0 THEN '' ELSE p_brand || ' & Co' END AS brand_shown FROM {{part}}) AS d
+"""
+
+_TABLES = ("part", "orders", "customer", "supplier")
+
+
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def derive(spark: SparkSession, sf_dir: str, statement: str) -> DataFrame:
-    names = [n for n in ("part", "orders", "customer") if "{" + n + "}" in statement]
+    names = [n for n in _TABLES if "{" + n + "}" in statement]
     return spark.sql(statement, **{n: _table(spark, sf_dir, n) for n in names})
 
 
@@ -102,7 +119,7 @@ def words(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def duckdb(statement: str) -> str:
-    for n in ("part", "orders", "customer"):
+    for n in _TABLES:
         statement = statement.replace("{" + n + "}", n)
     return statement
 

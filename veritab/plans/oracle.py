@@ -96,7 +96,6 @@ LAST = "lastp AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id OR
 DONE = "done AS (SELECT DISTINCT id FROM prior WHERE fetch_status = 'ok')"
 PENDING = "pending AS (SELECT * FROM records WHERE id NOT IN (SELECT id FROM done))"
 KEPT = "kept AS (SELECT * FROM lastp WHERE id NOT IN (SELECT id FROM pending))"
-ORIGINALS = "originals AS (SELECT id, row_no, fetch_status, image_path, 'original' AS variant_type, '' AS base_image FROM prior WHERE fetch_status IN ('ok', 'ok_partial') AND trim(image_path) <> '')"
 
 
 def _page_net(x: str) -> str:
@@ -175,8 +174,9 @@ ORACLES: dict[str, str] = {
     "merged_metadata": f"""WITH {PRIOR}, {RECORDS}, {FETCHED}, {DONE}, {LAST}, {PENDING}, {KEPT}
       SELECT id, row_no, NULL AS name, brand_name_detail, NULL AS fanciful_name_detail FROM kept
       UNION ALL SELECT p.id, p.row_no, p.name, CASE WHEN f.id IS NOT NULL THEN f.brand_name_detail ELSE p.brand_name_detail END, f.fanciful_name_detail FROM pending p LEFT JOIN fetched f USING (id)""",
-    "master_with_variants": f"""WITH {PRIOR}, {ORIGINALS}, had AS (SELECT id, row_no, fetch_status, image_path, variant_type, '' AS base_image FROM prior WHERE coalesce(variant_type, 'original') <> 'original'),
-      new AS (SELECT id, row_no, fetch_status, 'images/' || id || '_dist.jpg' AS image_path, 'noise_s5' AS variant_type, image_path AS base_image FROM prior WHERE fetch_status = 'ok' AND trim(image_path) <> '' AND id NOT IN (SELECT id FROM had))
+    "master_with_variants": f"""WITH {PRIOR}, {LAST}, had AS (SELECT id, row_no, fetch_status, image_path, variant_type, '' AS base_image FROM prior WHERE coalesce(variant_type, 'original') <> 'original'),
+      originals AS (SELECT id, row_no, fetch_status, image_path, 'original' AS variant_type, '' AS base_image FROM lastp WHERE fetch_status IN ('ok', 'ok_partial') AND trim(image_path) <> ''),
+      new AS (SELECT id, row_no, fetch_status, 'images/' || id || '_dist.jpg' AS image_path, 'noise_s5' AS variant_type, image_path AS base_image FROM lastp WHERE fetch_status = 'ok' AND trim(image_path) <> '' AND id NOT IN (SELECT id FROM had))
       SELECT * FROM originals UNION ALL SELECT * FROM had UNION ALL SELECT * FROM new""",
     "exact_size_sample": f"""WITH {PRIOR}, e AS (SELECT row_no, row_number() OVER (ORDER BY (row_no * 7919) % 10007, row_no) AS i, count(*) OVER () AS n FROM prior WHERE fetch_status = 'ok' AND trim(image_path) <> '')
       SELECT row_no FROM e WHERE i <= greatest(1, floor(n * 0.5))""",

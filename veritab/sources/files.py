@@ -62,4 +62,5 @@ def with_existence(rows: DataFrame, files: DataFrame, root: str, path: str = "im
 
 
 def write_records(rows: DataFrame, path: str) -> None:
-    rows.write.mode("overwrite").option("escape", '"').csv(path, header=True)
+    """As records() reads it; blanks around a value stay."""
+    rows.write.mode("overwrite").options(escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).csv(path, header=True)
