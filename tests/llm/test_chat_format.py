@@ -35,15 +35,16 @@ def test_edges(spark):
     assert got[2]["prompt"] == render("user", "a") * 2 + render("", "") and got[2]["chosen_completion"] == got[2]["rejected_completion"] == ""
     assert (got[3]["prompt_turns"], got[3]["chosen_trained"], got[3]["rejected_trained"]) == (0, "", "14-23")
     assert got[4]["prompt"] == got[4]["chosen_completion"] == "" and len(got[4]["rejected_completion"]) > 100_000
-    assert got[None]["prompt"] == render("user", "n")
+    assert set(got) == {2, 3, 4}  # turns without a pair id are left out
     assert run(spark, [], []) == {}
 
 
 def test_borrowed_replies(spark):
-    turns = spark.createDataFrame([(1, 0, "user", "q"), (1, 1, "assistant", "r1"), (2, 0, "user", "p"), (2, 1, "assistant", "r2"), (2, 2, "user", "z"), (4, 0, "user", "alone")], "conv_id bigint, turn bigint, role string, text string")
+    turns = spark.createDataFrame([(1, 0, "user", "q"), (1, 1, "assistant", "r1"), (2, 0, "user", "p"), (2, 1, "assistant", "r2"), (2, 2, "user", "z"), (4, 0, "user", "alone"), (None, 0, "user", "nobody's"), (None, 1, "assistant", "r")], "conv_id bigint, turn bigint, role string, text string")
     got = {r["pair_id"]: r for r in chat_format.preference_rows(*chat_format.borrowed_replies(turns)).collect()}
     assert got[1]["prompt"] == render("user", "q") and got[1]["rejected_completion"] == render("assistant", "r2") + render("user", "z")
     assert got[2]["rejected_completion"] == "" and got[4]["prompt"] == render("user", "alone")
+    assert set(got) == {1, 2, 4}
 
 
 def test_plan_has_no_python(spark):

@@ -12,7 +12,7 @@ import tiktoken
 
 from tests.llm import test_katz
 from tests.test_catalogue import SF, TABLES, rows
-from veritab.llm import bpe, katz, queries
+from veritab.llm import bpe, katz, oracles, queries
 
 
 @pytest.fixture(scope="module")
@@ -67,6 +67,12 @@ def test_op5(spark, duck):
 
 def test_op8(spark, duck):
     want = test_katz.brute(texts(duck), normalised=5)
+    duck.execute("CREATE TABLE scored (doc_id BIGINT, text VARCHAR, train BOOLEAN)")
+    duck.executemany("INSERT INTO scored VALUES (?, ?, ?)", [(i, t, zlib.crc32(str(i).encode()) % 7 != 2) for i, t in texts(duck)])
+    in_sql = {r[0]: r[1:] for r in duck.execute(oracles.KATZ).fetchall()}
+    assert set(in_sql) == set(want)
+    for i, (n, known, base, score, total) in want.items():
+        assert in_sql[i][:3] == (n, known, total) and in_sql[i][3:] == pytest.approx((base, score), rel=1e-8)
     got = queries.op8_katz_backoff(spark, SF).collect()
     assert len(got) == len(want)
     for r in got:

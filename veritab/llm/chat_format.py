@@ -9,8 +9,9 @@ the only rows that meet.
 Edge cases: a null role or text is empty; a null turn comes last; turns with
 equal numbers are ordered by role and text, so repeated turns stay; a pair of
 which one side is missing has an empty prompt and an empty completion there;
-equal conversations are all prompt with two empty completions; rows without a
-pair id are one pair; no rows give no pairs; further columns are ignored.
+equal conversations are all prompt with two empty completions; turns without a
+pair id belong to no conversation and are left out, in either function; no rows
+give no pairs; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -30,7 +31,7 @@ def _conversations(turns: DataFrame, name: str) -> DataFrame:
         F.coalesce(F.col("turn").cast("bigint"), F.lit(2**63 - 1)).alias("turn"),
         F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"),
     )
-    return turns.select("pair_id", turn.alias("t")).groupBy("pair_id").agg(F.array_sort(F.collect_list("t")).alias(name))
+    return turns.filter("pair_id is not null").select("pair_id", turn.alias("t")).groupBy("pair_id").agg(F.array_sort(F.collect_list("t")).alias(name))
 
 
 def _trained(turns: Column) -> Column:
@@ -57,7 +58,7 @@ def preference_rows(chosen: DataFrame, rejected: DataFrame) -> DataFrame:
     none = F.array().cast("array<struct<turn:bigint,role:string,text:string>>")
     left = _conversations(chosen, "chosen").withColumnRenamed("pair_id", "left_id")
     right = _conversations(rejected, "rejected").withColumnRenamed("pair_id", "right_id")
-    both = left.join(right, F.col("left_id").eqNullSafe(F.col("right_id")), "full").select(
+    both = left.join(right, F.col("left_id") == F.col("right_id"), "full").select(
         F.coalesce("left_id", "right_id").alias("pair_id"), F.coalesce("chosen", none).alias("chosen"), F.coalesce("rejected", none).alias("rejected")
     )
     same = F.zip_with("chosen", "rejected", lambda x, y: F.coalesce((x["role"] == y["role"]) & (x["text"] == y["text"]), F.lit(False)))
@@ -76,7 +77,7 @@ def preference_rows(chosen: DataFrame, rejected: DataFrame) -> DataFrame:
 def borrowed_replies(turns: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Chosen and rejected turns out of one table of conversations (conv_id, turn, role, text).
 
-    A conversation is chosen as it is. Rejected is the same up to its last
+    A conversation is chosen as it is; turns with a null conv_id are left out. Rejected is the same up to its last
     assistant turn, and from there the turns that the conversation with the next
     id has from its own last assistant turn on. Without an assistant turn all
     turns count as before it.
