@@ -185,6 +185,14 @@ def upload_requests(spark, sf_dir):
     return uploads.requests(E.derive(spark, sf_dir, _FORMS), E.derive(spark, sf_dir, _UPLOADS)).drop("content_type")
 
 
+@query(f"""WITH {_cte('f', _FORMS)} SELECT request_id, trim(brand_name) AS brand_name, coalesce(alcohol_content, '') AS alcohol_content, '750 ml' AS net_contents,
+  gov_warning_expected IS NOT NULL AS gov_warning_expected, debug = 'true' AS debug, CASE WHEN engine = 'paddleocr' THEN engine ELSE 'tesseract' END AS engine FROM f""")
+def json_requests(spark, sf_dir):
+    """Requests as JSON documents, read with their schema."""
+    documents = E.derive(spark, sf_dir, _FORMS).select(F.to_json(F.struct("*")).alias("value"))
+    return uploads.forms(uploads.parsed(documents))
+
+
 _ENTRIES = "SELECT c_custkey AS id, 'f' || CAST(c_custkey % 200 AS STRING) AS filename FROM {customer}"
 _FILES = "SELECT 'f' || CAST(o_custkey % 150 AS STRING) AS filename, o_orderkey AS file_no, o_orderkey * 7 AS bytes FROM {orders}"
 

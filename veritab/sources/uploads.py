@@ -9,6 +9,15 @@ from veritab.functions import text as T
 from veritab.operators.attempts import engine_or_default
 
 
+#: A request as a JSON document; members that are missing are null, others are ignored.
+REQUEST = "request_id bigint, brand_name string, alcohol_content string, net_contents string, gov_warning_expected string, debug string, engine string"
+
+
+def parsed(documents: DataFrame, column: str = "value") -> DataFrame:
+    """Forms out of JSON documents, one a row; what is no JSON document has only nulls."""
+    return documents.select(F.from_json(column, REQUEST).alias("r")).select("r.*")
+
+
 def forms(raw: DataFrame) -> DataFrame:
     """Forms (request_id and text fields, any of them null) with trimmed values, flags and a known engine."""
     value = lambda c: F.trim(F.coalesce(F.col(c), F.lit("")))
