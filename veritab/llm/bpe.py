@@ -188,7 +188,7 @@ def encode(docs: DataFrame, vocabulary: str, pattern: str, id_col: str = "doc_id
     )
     answers = (
         blocks.filter("kind = 'word'").select("block", "bucket", "payload")
-        .repartition(buckets, "bucket").sortWithinPartitions("bucket")
+        .repartitionById(buckets, "bucket").sortWithinPartitions("bucket")
         .mapInArrow(_encode_buckets(ranks, pattern), ANSWERS)
     )
     texts = blocks.filter("kind = 'doc'").select("block", "payload", "word_buckets", "doc_ids", "lengths", "carried")  # bucketed: not shuffled

@@ -338,7 +338,7 @@ def katz_scores(docs: DataFrame, is_train: Column, id_col: str = "doc_id", text_
     rows = docs.select(F.col(id_col).cast("bigint"), F.col(text_col).cast("string"), F.coalesce(is_train & F.col(id_col).isNotNull(), F.lit(False)))
     blocks = shared.materialize_bucketed(rows.mapInArrow(_split(buckets), BLOCKS), "katz-blocks", "kind", "block", min(buckets, MOST_TABLE_BUCKETS))
     texts = blocks.filter("kind = 'doc'")  # bucketed: not shuffled
-    sorted_ = lambda df: df.repartition(buckets, "bucket").sortWithinPartitions("bucket")
+    sorted_ = lambda df: df.repartitionById(buckets, "bucket").sortWithinPartitions("bucket")
     names = [x.split()[0] for x in ROWS.split(", ")]
     words = shared.materialize(sorted_(blocks.filter("kind = 'word'").select(*names)).mapInArrow(_count_words(buckets), ROWS), "katz-unigrams", partition_by="kind")
     sums = _added(words, K + 4)
