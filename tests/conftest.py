@@ -12,7 +12,7 @@ def spark(tmp_path_factory):
 
     session = (
         SparkSession.builder.master("local[8]").appName("veritab-tests")
-        .config("spark.sql.shuffle.partitions", "8").config("spark.ui.enabled", "false").config("spark.driver.memory", "6g")
+        .config("spark.sql.shuffle.partitions", "4").config("spark.ui.enabled", "false").config("spark.driver.memory", "6g")
         .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .config("spark.sql.session.timeZone", "UTC").config("spark.sql.warehouse.dir", str(tmp_path_factory.mktemp("warehouse")))
         .config("spark.checkpoint.dir", f"file://{tmp_path_factory.mktemp('shared')}")
