@@ -47,6 +47,18 @@ def test_pushdown_and_joins(spark):
     assert "TakeOrderedAndProject" in plan("top_warnings") and "Python" not in plan("evaluate_labels")
 
 
+def test_detail_pages_are_not_joined_to_themselves(spark, tmp_path):
+    """Pages are many times larger than Spark reckons from the parts: a join of them is broadcast, which the driver cannot hold at 1 GB."""
+    con = duckdb.connect()
+    con.execute(f"COPY (SELECT CASE WHEN p_partkey % 50 = 49 THEN NULL ELSE p_partkey // 2 END AS p_partkey, p_name, p_brand FROM '{SF}/part.parquet') TO '{tmp_path}/part.parquet' (FORMAT parquet)")
+    con.execute(f"CREATE VIEW part AS SELECT * FROM '{tmp_path}/part.parquet'")
+    df = catalogue.queries()["page_details"](spark, str(tmp_path))
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "Broadcast" not in plan and "RoundRobinPartitioning" in plan
+    want = con.execute(f"SELECT {', '.join(df.columns)} FROM ({catalogue.oracle_sql()['page_details']})").fetchall()
+    assert rows(df.collect()) == rows(want)  # keys that repeat or are null keep their rows
+
+
 @pytest.mark.parametrize("name,most", [("evaluate_labels", 10), ("top_warnings", 10), ("associate_boxes", 12), ("fallback_prefix_choice", 20), ("variant_summary", 20)])
 def test_expressions_are_not_copied(spark, name, most):
     plan = catalogue.queries()[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()

@@ -109,13 +109,16 @@ def fetch_status(error: Column, captcha: Column, images: Column, image_error: Co
     )
 
 
-def details_from_pages(pages: DataFrame, key: str = "page_id") -> DataFrame:
-    """Named fields of parsed pages (key, fields map, image_urls, html), normalized as the record table holds them."""
+def details_from_pages(pages: DataFrame, key: str = "page_id", captcha: Column | None = None) -> DataFrame:
+    """Named fields of parsed pages (key, fields map, image_urls, html), normalized as the record table holds them.
+
+    captcha: whether a page is one, if known; pages need no html then.
+    """
     get = lambda label: F.try_element_at("fields", F.lit(label))
     return pages.select(
         key, F.coalesce(get("BRAND NAME"), F.lit("")).alias("brand_name_detail"), F.coalesce(get("FANCIFUL NAME"), F.lit("")).alias("fanciful_name_detail"),
         T.page_net_contents(get("NET CONTENTS")).alias("net_contents"), T.page_alcohol(get("ALCOHOL CONTENT")).alias("alcohol_content"),
-        F.size("image_urls").alias("image_count"), T.is_captcha(F.col("html")).alias("captcha"),
+        F.size("image_urls").alias("image_count"), (T.is_captcha(F.col("html")) if captcha is None else captcha).alias("captcha"),
     )
 
 

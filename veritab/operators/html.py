@@ -6,7 +6,7 @@ that one expression covers stay with the JVM.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from html.parser import HTMLParser
 
 import pyarrow as pa
@@ -98,28 +98,32 @@ def parse_page(html: str | None) -> tuple[list[tuple[str, str]], list[str]]:
     return pairs, [n.attrs["src"] for n in tree.nodes if n.tag == "img" and n.attrs.get("src")]
 
 
-def parse_pages(pages: DataFrame, key: str = "page_id", html: str = "html") -> DataFrame:
-    """key, pairs (label, value in order) and images of each page."""
-    kind = pages.schema[key].dataType.simpleString()
+def parse_pages(pages: DataFrame, key: str = "page_id", html: str = "html", carried: Sequence[str] = ()) -> DataFrame:
+    """key, pairs (label, value in order) and images of each page, and the carried columns as they are."""
+    own = [key, *carried]
+    kinds = ", ".join(f"`{c}` {pages.schema[c].dataType.simpleString()}" for c in own)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pair = pa.list_(pa.struct([("label", pa.string()), ("value", pa.string())]))
         for batch in batches:
-            parsed = [parse_page(t) for t in batch.column(1).to_pylist()]
+            parsed = [parse_page(t) for t in batch.column(len(own)).to_pylist()]
             pairs = pa.array([[{"label": a, "value": b} for a, b in p] for p, _ in parsed], pair)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pairs, pa.array([i for _, i in parsed], pa.list_(pa.string()))], names=[key, "pairs", "images"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(own)], pairs, pa.array([i for _, i in parsed], pa.list_(pa.string()))], names=[*own, "pairs", "images"])
 
-    return pages.select(key, html).mapInArrow(run, f"{key} {kind}, pairs array<struct<label:string,value:string>>, images array<string>")
+    return pages.select(*own, html).mapInArrow(run, f"{kinds}, pairs array<struct<label:string,value:string>>, images array<string>")
 
 
-def page_fields(pages: DataFrame, key: str = "page_id", html: str = "html") -> DataFrame:
-    """key, fields (map of cleaned label to value; a later label replaces an earlier one) and image_urls of attachments."""
+def page_fields(pages: DataFrame, key: str = "page_id", html: str = "html", carried: Sequence[str] = ()) -> DataFrame:
+    """key, fields (map of cleaned label to value; a later label replaces an earlier one) and image_urls of attachments.
+
+    carried: columns that come along with their rows, so that nothing has to be joined to the pages again.
+    """
     cleaned = F.transform("pairs", lambda p: F.struct(T.clean_label(p["label"]).alias("k"), p["value"].alias("v")))
     merged = F.aggregate(
         F.filter(cleaned, lambda p: p["k"] != ""), F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>")),
         lambda m, p: F.map_concat(F.map_filter(m, lambda k, _: k != p["k"]), F.create_map(p["k"], p["v"])),
     )
-    return parse_pages(pages, key, html).select(key, merged.alias("fields"), F.filter("images", lambda s: F.contains(s, F.lit(C.ATTACHMENT))).alias("image_urls"))
+    return parse_pages(pages, key, html, carried).select(key, *carried, merged.alias("fields"), F.filter("images", lambda s: F.contains(s, F.lit(C.ATTACHMENT))).alias("image_urls"))
 
 
 def page_title(html: Column) -> Column:

@@ -94,9 +94,13 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def derive(spark: SparkSession, sf_dir: str, statement: str) -> DataFrame:
+def derive(spark: SparkSession, sf_dir: str, statement: str, spread: bool = False) -> DataFrame:
+    """spread: deal the tables' rows out first; for a few bytes a row that become much work, a scan has too few partitions."""
     names = [n for n in _TABLES if "{" + n + "}" in statement]
-    return spark.sql(statement, **{n: _table(spark, sf_dir, n) for n in names})
+    tables = {n: _table(spark, sf_dir, n) for n in names}
+    if spread:
+        tables = {n: t.repartition(int(spark.conf.get("spark.sql.shuffle.partitions"))) for n, t in tables.items()}
+    return spark.sql(statement, **tables)
 
 
 def apps(spark: SparkSession, sf_dir: str) -> DataFrame:

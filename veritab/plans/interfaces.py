@@ -59,7 +59,7 @@ PAGES = _cte("dp", E.DETAIL_PAGES)
 
 
 def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return E.derive(spark, sf_dir, E.DETAIL_PAGES).select("page_id", "html")
+    return E.derive(spark, sf_dir, E.DETAIL_PAGES, spread=True).select("page_id", "html")
 
 
 @query(f"""WITH {PAGES}, l AS (
@@ -75,8 +75,8 @@ def page_fields(spark, sf_dir):
   CASE WHEN html IS NULL THEN 0 ELSE page_id % 3 END::INT AS image_count, html IS NOT NULL AND page_id % 13 = 0 AS captcha FROM dp""")
 def page_details(spark, sf_dir):
     """The detail pages as rows of the record table."""
-    pages = _pages(spark, sf_dir)
-    return dataset.details_from_pages(html.page_fields(pages).join(pages, "page_id"))
+    pages = _pages(spark, sf_dir).withColumn("captcha", T.is_captcha(F.col("html")))
+    return dataset.details_from_pages(html.page_fields(pages, carried=["captcha"]), captcha=F.col("captcha"))
 
 
 # ---- texts
